@@ -248,3 +248,38 @@ def small(ids: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id bigint, _text string) of the rows that have an id: no other column can clash."""
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("_id is not null")
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places, and places after the last, of the stretches where mask holds."""
+    edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    """A document's text without byte spans; of the white space on both sides of a hole one side stays."""
+    out, at = [], 0
+    for a, b in spans:
+        left = raw[at:a]
+        if out and left[:1].isspace() and (not out[-1] or out[-1][-1:].isspace()):
+            left = left.lstrip()
+        out.append(left)
+        at = b
+    left = raw[at:]
+    if out and left[:1].isspace() and (not out[-1] or out[-1][-1:].isspace()):
+        left = left.lstrip()
+    out.append(left)
+    return b"".join(out).decode("utf-8", "replace")
+
+
+def swap(batch: pa.RecordBatch, name: str, changed: dict[int, str]) -> pa.RecordBatch:
+    """The batch with other texts in some rows of a string column."""
+    if not changed:
+        return batch
+    k = batch.schema.get_field_index(name)
+    rows = sorted(changed)
+    mask = np.zeros(batch.num_rows, bool)
+    mask[rows] = True
+    column = batch.column(k)
+    new = pc.replace_with_mask(column, pa.array(mask), pa.array([changed[r] for r in rows], column.type))
+    return batch.set_column(k, batch.schema.field(k), new)

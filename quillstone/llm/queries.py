@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, minhash, substring_dedup
+from quillstone.llm import bpe, decontaminate, minhash, quality_crf, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_crf.classify(docs, quality_crf.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +38,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_quality_crf": op4_quality_crf,
+    "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op10_minhash": op10_minhash,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, decontaminate, minhash, quality_crf, substring_dedup
+from quillstone.llm import bpe, ctw, decontaminate, html_extract, license_scan, minhash, quality_crf, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,11 +19,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_crf.classify(docs, quality_crf.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op5_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
@@ -36,11 +48,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op4_quality_crf": op4_quality_crf,
-    "op6_bpe": op6_bpe,
-    "op7_decontaminate": op7_decontaminate,
-    "op10_minhash": op10_minhash,
-}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_html_extract, op3_license_scan, op4_quality_crf, op5_ctw_score, op6_bpe, op7_decontaminate, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}

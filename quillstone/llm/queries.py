@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import bpe, ctw, decontaminate, html_extract, license_scan, minhash, quality_crf, substring_dedup
+from quillstone.llm import bpe, ctw, decontaminate, html_extract, license_scan, minhash, quality_crf, substring_dedup, syncmers, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,9 +44,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_html_extract, op3_license_scan, op4_quality_crf, op5_ctw_score, op6_bpe, op7_decontaminate, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_html_extract, op3_license_scan, op4_quality_crf, op5_ctw_score, op6_bpe, op7_decontaminate, op8_url_reputation, op9_syncmers, op10_minhash)}
+ORACLE_SQL: dict[str, str] = {"op8_url_reputation": url_reputation.sql()}

@@ -1 +1 @@
-"""See the package README."""
+"""Catalog, SQL, configuration, models and question answering, and the registered queries."""

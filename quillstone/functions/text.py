@@ -70,7 +70,7 @@ def line_guard(text: Column, least: int = 12) -> Column:
 
 def ascii_runs(text: Column) -> Column:
     """Printable ASCII runs of four and more that are longer than three characters once stripped."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[\x20-\x7E]{4,}"), F.lit(0)), F.trim), lambda x: F.length(x) > 3)
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"[\x20-\x7E]{4,}"), F.lit(0)), lambda x: F.trim(x)), lambda x: F.length(x) > 3)
 
 
 def yes_no(answer: Column) -> Column:

@@ -3,7 +3,8 @@
 A region of text is aligned with a licence template, word by word: words that occur once in both anchor it; the
 longest increasing subsequence of the anchors stays; the gaps between them are aligned in the same way, with what
 is unique there. A gap without anchors is aligned by the same patience sort over all its pairs
-of equal words, which gives a longest common subsequence. The matched share of the template's words is its coverage.
+of equal words, which gives a longest common subsequence; so is a whole region whose coverage falls short, as chance
+anchors may mislead. The matched share of the template's words is its coverage.
 
 Which regions to align is found without loss: of the words that matter (all but a few function words), a region of
 coverage COVERAGE must hold all but those that may be missing, within REACH template lengths. Their places come from one hashed
@@ -59,6 +60,15 @@ def increasing(values: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
+def longest(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence: the patience sort over all pairs of equal words."""
+    places: dict = {}
+    for j in range(len(template) - 1, -1, -1):
+        places.setdefault(template[j], []).append(j)
+    pairs = [(i, j) for i, x in enumerate(text) for j in places.get(x, ())]
+    return [pairs[k] for k in increasing([j for _, j in pairs])]
+
+
 def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     """Pairs (place in text, place in template) of equal words, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -77,11 +87,7 @@ def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
         where = {text[i]: i for i in range(a, b)}
         anchors = [(where[x], j) for j in range(c, d) if theirs[x := template[j]] == 1 and mine.get(x) == 1]
         if not anchors:
-            places: dict = {}
-            for j in range(d - 1, c - 1, -1):
-                places.setdefault(template[j], []).append(j)
-            pairs = [(i, j) for i in range(a, b) for j in places.get(text[i], ())]
-            out += [pairs[k] for k in increasing([j for _, j in pairs])]
+            out += [(a + i, c + j) for i, j in longest(text[a:b], template[c:d])]
             continue
         kept = [anchors[k] for k in increasing([i for i, _ in anchors])]
         out += kept
@@ -142,7 +148,10 @@ class Scanner:
                 i += 1
                 continue
             a, b = max(low, places[i] - len(own)), min(high, places[i] + reach)
-            pairs = align([w.low[w.starts[q] : w.ends[q]].tobytes() for q in range(a, b)], own)
+            region = [w.low[w.starts[q] : w.ends[q]].tobytes() for q in range(a, b)]
+            pairs = align(region, own)
+            if len(pairs) < need:  # words that are unique by chance may have led the anchors astray
+                pairs = longest(region, own)
             if len(pairs) < need:
                 i += 1
                 continue

@@ -74,12 +74,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = h[1:] == h[:-1]
         prev = np.concatenate(([held is not None and held[3]], same))
         again = prev[:-1] | same
-        other = np.concatenate(([True], i[1:] != i[:-1]))  # a repeated row isn't a copy of itself
+        other = np.concatenate(([held is None or held[4]], i[1:] != i[:-1]))  # a repeated row isn't a copy of itself
         at = np.flatnonzero(np.where(p[:-1] == _COPY, prev[:-1] & other[:-1], again))
-        held = (h[-1], i[-1], p[-1], bool(prev[-1]))
+        held = (h[-1], i[-1], p[-1], bool(prev[-1]), bool(other[-1]))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(p[at])], ["_id", "_p"])
-    if held is not None and held[3]:
+    if held is not None and held[3] and (held[4] or held[2] != _COPY):
         yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32())], ["_id", "_p"])
 
 

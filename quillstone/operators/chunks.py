@@ -68,11 +68,20 @@ def chunk(docs: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP) -> DataF
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, chunk_index int, chunk string")
 
 
-def chunk_rows(docs: DataFrame, path: str = "path", modified: str = "modified") -> DataFrame:
+def chunk_rows(docs: DataFrame, path: str = "path", modified: str = "modified", *, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """chunk_id, filename, chunk_index, file_date, chunk of documents with a path and a time of change."""
-    date = X.file_date(F.col(path), F.col(modified))
-    meta = docs.select("doc_id", F.col(path).alias("filename"), date.alias("file_date"))
-    rows = chunk(docs).join(meta, "doc_id")
+    kept = docs.select(F.col(path).alias("filename"), X.file_date(F.col(path), F.col(modified)).alias("file_date"), F.col("text").cast("string"))
+
+    def run(batches):
+        for b in batches:
+            found = [split_text(t.as_py() or "", size, overlap) for t in b.column(2)]
+            row = [k for k, f in enumerate(found) for _ in f]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row, pa.int64())), b.column(1).take(pa.array(row, pa.int64())), pa.array([i for f in found for i in range(len(f))], pa.int32()), pa.array([c for f in found for c in f], pa.string())],
+                ["filename", "file_date", "chunk_index", "chunk"],
+            )
+
+    rows = kept.mapInArrow(run, "filename string, file_date string, chunk_index int, chunk string")
     return rows.select(X.chunk_id(F.col("filename"), F.col("chunk_index"), F.col("file_date")).alias("chunk_id"), "filename", "chunk_index", "file_date", "chunk")
 
 

@@ -48,14 +48,15 @@ def clean(spark: SparkSession, folder: str, *, patterns: list[str] = (), skip: l
 
 def convert(spark: SparkSession, folder: str, *, patterns: list[str] = (), skip: list[str] = (), force: bool = False, retry_errors: bool = False, dry_run: bool = False, readers=None) -> dict:
     """Writes name.md beside every file whose output is missing or older; a file that can't be read leaves an empty one."""
-    rows = _filtered(_everything(spark, folder), list(patterns), list(skip))
+    rows = C.listing(spark, folder).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    rows = _filtered(rows, list(patterns), list(skip))
     out = rows.select(F.col("path").alias("out_path"), F.col("modificationTime").alias("out_mtime"), F.col("length").alias("out_size"))
     source = rows.where(~F.endswith("path", F.lit(".md"))).withColumn("out_path", F.concat("path", F.lit(".md")))
     planned = O.plan(source.join(out, "out_path", "left").withColumnsRenamed({"modificationTime": "mtime", "length": "size"}).withColumn("needs_ocr", F.lit(False)), force=force, retry_errors=retry_errors)
     report = O.summary(planned).first().asDict()
     todo = planned.where(F.col("action").isin("convert", "reconvert", "retry"))
     if not dry_run:
-        texts = C.texts(todo.select("path", F.col("mtime").alias("modificationTime"), F.col("size").alias("length"), "content"), readers)
+        texts = C.texts(_everything(spark, folder).join(todo.select("path"), "path", "left_semi"), readers)
         states = sinks.write_files(texts.select(F.concat("path", F.lit(".md")).alias("out_path"), F.coalesce("text", F.lit("")).alias("text")))
         report["failed"] = states.where("state = 'error'").count()
     return report
@@ -63,7 +64,8 @@ def convert(spark: SparkSession, folder: str, *, patterns: list[str] = (), skip:
 
 def fix_names(spark: SparkSession, folder: str, *, dry_run: bool = False) -> dict:
     """Renames or deletes .md files whose names lack the extension of what they were made of."""
-    rows = O.fix_names(_everything(spark, folder).select("path")).where("action <> 'leave'").collect()
+    rows = C.listing(spark, folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
+    rows = O.fix_names(rows).where("action <> 'leave'").collect()
     for r in rows if not dry_run else ():
         os.remove(r.path) if r.action == "delete" else os.rename(r.path, r.target)
     return {a: sum(r.action == a for r in rows) for a in ("rename", "delete")}

@@ -30,8 +30,28 @@ def corpus(spark: SparkSession, folder: str | None, extensions: tuple[str, ...]
     return rows.withColumn("path", path).where(wanted)
 
 
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """path, modificationTime, length of every file under a folder, the empty ones too, which a scan leaves out.
+
+    Listed on the driver, as a scan lists its files; a missing folder is an error.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    rows = []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return spark.createDataFrame(rows, "path string, ms bigint, length bigint").select("path", F.timestamp_millis("ms").alias("modificationTime"), "length")
+
+
 def file_count(spark: SparkSession, folder: str | None, extensions: tuple[str, ...] = EXTENSIONS) -> int:
-    return corpus(spark, folder, extensions).count()
+    """How many files of a folder have one of the extensions."""
+    if not folder:
+        return 0
+    wanted = F.lit(False)
+    for e in extensions:
+        wanted = wanted | F.endswith("path", F.lit(e))
+    return listing(spark, folder).where(wanted).count()
 
 
 def _decoded(decode, column: Column) -> Column:

@@ -187,3 +187,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int =
         return batch.take(pa.array([r for r in range(batch.num_rows) if r not in gone], pa.int64())) if gone else batch
 
     return _apply(docs, benchmark, one, docs.schema, text_col, n, min_words, item_id, item_text, broadcast_grams)
+
+
+def sql(n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE) -> str:
+    """What report(documents, benchmark) gives, for DuckDB: windows compared word for word, without any hash."""
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, {words} AS w FROM benchmark),
+item AS (SELECT item_id, w, least({n}, len(w)) AS n FROM b WHERE len(w) >= {max(1, min_words)}),
+gram AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM item)),
+size AS (SELECT DISTINCT n FROM gram),
+win AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, size)),
+hit AS (SELECT doc_id, i, n, item_id FROM win JOIN gram USING (n, g)),
+cover AS (SELECT doc_id, count(DISTINCT p) AS hit_words FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+who AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS item_ids FROM hit GROUP BY doc_id)
+SELECT doc_id, item_ids, hit_words, len(w) AS words, hit_words >= {drop_share} * len(w) AS dropped FROM who JOIN cover USING (doc_id) JOIN d USING (doc_id)"""

@@ -57,4 +57,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_html_extract, op3_license_scan, op4_quality_crf, op5_ctw_score, op6_bpe, op7_decontaminate, op8_url_reputation, op9_syncmers, op10_minhash)}
-ORACLE_SQL: dict[str, str] = {"op8_url_reputation": url_reputation.sql()}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.sql(), "op8_url_reputation": url_reputation.sql()}

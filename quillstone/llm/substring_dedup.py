@@ -36,13 +36,25 @@ from quillstone.llm import kernel as K
 PERIOD, COVER, WINDOW = 31, (0, 1, 3, 8, 12, 18), 20
 MIN_WORDS = WINDOW + PERIOD - 1
 _AT_COVER = np.isin(np.arange(PERIOD), COVER)
-_COPY = -1
 
 SPANS = "doc_id bigint, spans array<struct<start:int,end:int>>, chars bigint"
 
 
+def _whole(w: K.Words, docs: np.ndarray) -> np.ndarray:
+    """Hashes of all words of some documents."""
+    sums = np.zeros(len(w.hashes) + 1, K.U)
+    np.cumsum(K.mix(w.hashes) * K.powers(K._GRAM_BASE, len(w.hashes)), out=sums[1:])
+    back = K.powers(K._inverse(K._GRAM_BASE), len(w.hashes) + 1)
+    return K.mix((sums[w.bounds[docs + 1]] - sums[w.bounds[docs]]) * back[w.bounds[docs]])
+
+
+def _mark(whole: np.ndarray) -> np.ndarray:
+    """In the place of an anchor's position: 31 bits of a whole document's hash, as a negative number."""
+    return (-1 - (whole >> K.U(33)).astype(np.int64)).astype(np.int32)
+
+
 def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(_h, _id, _p) of the anchors, and one row at _COPY with the hash of all words of a document."""
+    """(_h, _id, _p) of the anchors, and one row with the hash of all words of a document and its mark."""
     ids, parts = batch.column(0).to_numpy(), []
     for w in K.words(batch.column(1)):
         n = np.diff(w.bounds)
@@ -53,11 +65,8 @@ def _anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = np.flatnonzero(ok & _AT_COVER[place % PERIOD] & (n[docs] >= MIN_WORDS))
         parts.append((h[at], ids[w.first + docs[at]], place[at].astype(np.int32)))
         long = np.flatnonzero(n >= MIN_WORDS)
-        sums = np.zeros(len(w.hashes) + 1, K.U)
-        np.cumsum(K.mix(w.hashes) * K.powers(K._GRAM_BASE, len(w.hashes)), out=sums[1:])
-        back = K.powers(K._inverse(K._GRAM_BASE), len(w.hashes) + 1)
-        whole = K.mix((sums[w.bounds[long + 1]] - sums[w.bounds[long]]) * back[w.bounds[long]])
-        parts.append((whole, ids[w.first + long], np.full(len(long), _COPY, np.int32)))
+        whole = _whole(w, long)
+        parts.append((whole, ids[w.first + long], _mark(whole)))
     cols = [np.concatenate([p[c] for p in parts]) for c in range(3)] if parts else [np.zeros(0, K.U), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1]), pa.array(cols[2])], ["_h", "_id", "_p"])
 
@@ -75,11 +84,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prev = np.concatenate(([held is not None and held[3]], same))
         again = prev[:-1] | same
         other = np.concatenate(([held is None or held[4]], i[1:] != i[:-1]))  # a repeated row isn't a copy of itself
-        at = np.flatnonzero(np.where(p[:-1] == _COPY, prev[:-1] & other[:-1], again))
+        at = np.flatnonzero(np.where(p[:-1] < 0, prev[:-1] & other[:-1], again))
         held = (h[-1], i[-1], p[-1], bool(prev[-1]), bool(other[-1]))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(p[at])], ["_id", "_p"])
-    if held is not None and held[3] and (held[4] or held[2] != _COPY):
+    if held is not None and held[3] and (held[4] or held[2] >= 0):
         yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.int64()), pa.array([held[2]], pa.int32())], ["_id", "_p"])
 
 
@@ -90,15 +99,16 @@ def _windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         h, ok = K.grams(w, MIN_WORDS), K.fits(w, MIN_WORDS)
         char = np.cumsum((w.raw & 0xC0) != 0x80)
         near = np.zeros(len(w.hashes) + 1, np.int32)
-        copies = []
+        copies, mark = [], _mark(_whole(w, np.arange(len(w.bounds) - 1)))
         for k in range(len(w.bounds) - 1):
             a, b = int(w.bounds[k]), int(w.bounds[k + 1])
             p = places[w.first + k].values.to_numpy()
             if b - a < MIN_WORDS:
                 continue
-            if (p == _COPY).any():
+            if (p == mark[k]).any():
                 copies.append(k)
                 continue
+            p = p[(p >= 0) & (p <= b - a - WINDOW)]  # rows of one id with other texts have places of their own
             np.add.at(near, a + np.maximum(p - (MIN_WORDS - WINDOW), 0), 1)
             np.add.at(near, a + p + 1, -1)
         at = np.flatnonzero((np.cumsum(near)[: len(h)] > 0) & ok)
@@ -108,7 +118,7 @@ def _windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         base = char[w.at[docs]] if len(docs) else np.zeros(0, np.int64)
         parts.append((
             np.concatenate((h[at], K.mix(ids[w.first + k].astype(K.U)))), ids[w.first + docs], t[w.first + docs],
-            np.concatenate((at - w.bounds[docs[: len(at)]], np.full(len(k), _COPY))).astype(np.int32),
+            np.concatenate((at - w.bounds[docs[: len(at)]], np.full(len(k), -1))).astype(np.int32),
             (char[w.starts[first]] - base).astype(np.int32), (char[w.ends[last] - 1] - base + 1).astype(np.int32),
         ))
     cols = [np.concatenate([p[c] for p in parts]) for c in range(6)]
@@ -126,7 +136,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, i, t, p, a, b = (np.concatenate(([x], y)) for x, y in zip(held, (h, i, t, p, a, b)))
         new = np.concatenate(([True], h[1:] != h[:-1]))
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        out = ((i != i[first]) | (t != t[first]) | (p != p[first])) | (p == _COPY)
+        out = ((i != i[first]) | (t != t[first]) | (p != p[first])) | (p < 0)
         if held is not None:
             out[0] = False  # has been seen
         at = np.flatnonzero(out)

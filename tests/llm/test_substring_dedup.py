@@ -76,5 +76,13 @@ def test_repeated_rows_are_one_document(spark):
     assert list(other) == [1]
 
 
+def test_other_texts_of_an_id_are_documents_of_their_own(spark):
+    p, q = prose(21, 80), prose(22, 300)
+    data = [(0, p), (1, p), (1, q), (1, prose(23, 60)), (2, q + " " + prose(24, 10)), (3, prose(25, 60) + " " + p), (3, prose(26, 55))]
+    out = S.repeats(table(spark, data)).collect()
+    assert sorted((r.doc_id, r.chars) for r in out) == [(1, len(p)), (2, len(q)), (3, len(p))]
+    assert sorted(len(r.text) for r in S.clean(table(spark, data)).where("doc_id = 1").collect()) == sorted([len(q), len(prose(23, 60))])
+
+
 def test_empty(spark):
     assert S.repeats(table(spark, [])).collect() == [] and S.clean(table(spark, [])).collect() == []

@@ -165,10 +165,9 @@ def keep(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id
     sigs = K.cut(signatures(K.keyed(docs, id_col, text_col)))
     gone = K.cut(_groups(sigs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
     key = F.col(f"`{id_col}`").cast("bigint")
-    kept = docs.join(K.small(gone), key == F.col("_gone"), "left_anti")
+    kept = docs.join(K.small(gone), key == gone["_gone"], "left_anti")  # named by table: docs may have such a column too
     again = K.cut(docs.groupBy(key.alias("_again")).count().where("count > 1 and _again is not null").select("_again"))
     if again.isEmpty():
         return kept
-    again = K.small(again)
-    once = kept.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, key == F.col("_again"), "left_anti").union(once)
+    once = kept.join(K.small(again), key == again["_again"], "left_semi").dropDuplicates([id_col])
+    return kept.join(K.small(again), key == again["_again"], "left_anti").union(once)

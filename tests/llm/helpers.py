@@ -14,7 +14,7 @@ def table(spark, rows, extra=True):
     if extra:
         from pyspark.sql import functions as F
 
-        for name in ("_id", "_text", "_t", "_h", "_row", "_key", "keep", "spans", "a", "b", "id"):
+        for name in ("_id", "_text", "_t", "_h", "_row", "_key", "keep", "spans", "a", "b", "id", "_gone", "_again", "_l", "_y", "_spans", "_grams", "_x", "count"):
             df = df.withColumn(name, F.lit(f"own {name}"))
     return df
 

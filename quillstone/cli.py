@@ -16,9 +16,6 @@ from quillstone.operators import files as O
 from quillstone.sources import corpus as C
 from quillstone.sources import sinks
 
-CLEANABLE = (".txt", ".text", ".md", ".markdown", ".rst", ".log", ".csv", ".tsv", ".json", ".yaml", ".yml", ".xml", ".html", ".htm", ".ini", ".cfg", ".conf")
-
-
 def _everything(spark: SparkSession, folder: str):
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return rows.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
@@ -32,9 +29,7 @@ def _filtered(rows, patterns: list[str], skip: list[str]):
 
 def clean(spark: SparkSession, folder: str, *, patterns: list[str] = (), skip: list[str] = (), keep_noise: bool = False, dry_run: bool = False) -> dict:
     """Repairs the text files of a folder in place; changed, unchanged and lines dropped."""
-    name = O.file_name(F.col("path"))
-    rows = _filtered(_everything(spark, folder), list(patterns), list(skip))
-    rows = rows.where(F.concat(F.lit("."), O.extension(F.col("path"))).isin(*CLEANABLE) & ~F.startswith(name, F.lit("._")) & ~F.endswith(name, F.lit(".bak")))
+    rows = _filtered(_everything(spark, folder), list(patterns), list(skip)).where(O.cleanable(F.col("path")))
     both = rows.select("path", C.decode_best_effort(F.col("content")).alias("old")).withColumn("new", gibberish.clean_text(F.col("old"), drop_noise=not keep_noise)).cache()
     breaks = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
     changed = F.col("old") != F.col("new")

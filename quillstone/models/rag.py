@@ -55,12 +55,17 @@ def yes_or_no(df: DataFrame, settings: dict[str, Any], prompt: Column, *, id_col
     return providers.ask(df, settings, prompt, id_col=id_col).select("id", X.yes_no(F.col("answer")).alias("verdict"))
 
 
+def sources(docs: DataFrame) -> DataFrame:
+    """The .md files but for those that are results themselves."""
+    return docs.where(F.endswith("filename", F.lit(".md")) & ~F.endswith("filename", F.lit(".requirements.md")) & ~F.col("filename").rlike(r"(^|/)requirements\.md$"))
+
+
 def requirements(docs: DataFrame, settings: dict[str, Any], done: DataFrame | None = None, extra: str = "") -> tuple[DataFrame, str]:
     """(filename, requirements of every source, the consolidated list). docs: filename, text; done: those extracted before.
 
-    Sources are the .md files but for those that are results themselves; what failed is left out of the list.
+    What failed is left out of the list.
     """
-    source = docs.where(F.endswith("filename", F.lit(".md")) & ~F.endswith("filename", F.lit(".requirements.md")) & ~F.col("filename").rlike(r"(^|/)requirements\.md$"))
+    source = sources(docs)
     todo = source.join(done.select("filename"), "filename", "left_anti") if done is not None else source
     made = providers.ask(todo, settings, fill(EXTRACT, filename=F.col("filename"), content=F.col("text"), extra=F.lit(extra)), id_col="filename", max_tokens=8192)
     rows = made.where("answer is not null").select(F.col("id").alias("filename"), F.col("answer").alias("requirements"))

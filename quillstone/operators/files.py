@@ -12,6 +12,8 @@ REMOTE = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff", "mp3", "wav", "m4a
 PLAIN = ("txt", "md", "csv", "json", "html", "htm", "xml", "yaml", "yml")
 CONVERTIBLE = TEXT_LAYER + OFFICE + REMOTE
 MAX_AUDIO = 25 * 1024 * 1024
+#: What is repaired in place: text formats only.
+CLEANABLE = ("txt", "text", "md", "markdown", "rst", "log", "csv", "tsv", "json", "yaml", "yml", "xml", "html", "htm", "ini", "cfg", "conf")
 
 
 def file_name(path: Column) -> Column:
@@ -44,6 +46,23 @@ def is_sidecar(name: Column, content: Column) -> Column:
     return F.startswith(name, F.lit("._")) & (F.hex(F.substring(content, 1, 4)) == "00051607")
 
 
+def cleanable(path: Column) -> Column:
+    """Whether a file of a folder may be repaired in place: a text format, neither a backup nor a sidecar."""
+    name = file_name(path)
+    return extension(path).isin(*CLEANABLE) & ~F.startswith(name, F.lit("._")) & ~F.endswith(name, F.lit(".bak"))
+
+
+def audio_fits(size: Column) -> Column:
+    """Whether a sound file is small enough to be sent."""
+    return size <= MAX_AUDIO
+
+
+def markdown_row(columns: list[str]) -> Column:
+    """A row of a markdown table; nulls are empty, bars escaped."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+
+
 def plan(files: DataFrame, *, force: bool = False, retry_errors: bool = False, redo_ocr: bool = False, cutoff: Column | None = None) -> DataFrame:
     """Every file with action: convert, reconvert, retry, fresh, empty, or ignored.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -74,8 +75,7 @@ def requirements(spark: SparkSession, folder: str, settings: dict, *, force: boo
     done = None if force else have.select(F.regexp_replace("filename", r"\.requirements\.md$", ".md").alias("filename"), F.col("text").alias("requirements"))
     made, whole = rag.requirements(rows, settings, done, prompt)
     n = sinks.write_files(made.withColumn("out_path", result), text="requirements").where("state = 'written'").count()
-    with open(os.path.join(folder, "requirements.md"), "w", encoding="utf-8") as f:
-        f.write(whole)
+    Path(folder, "requirements.md").write_text(whole, "utf-8")
     return {"sources": n, "written": os.path.join(folder, "requirements.md")}
 
 

@@ -61,7 +61,7 @@ def to_datetime(value: Column) -> Column:
     /Date(n)/ loses its time of day, and so does a stamp with a blank for the T.
     """
     s = value.cast("string")
-    stamp = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:?\d{2})?$"), F.coalesce(s.try_cast("timestamp")))
+    stamp = F.when(s.rlike(r"^\d{4}(?:-\d\d){2}T\d\d(?::\d\d){2}(\.\d{1,6})?(Z|[+-]\d\d:?\d\d)?$"), F.coalesce(s.try_cast("timestamp")))
     day = F.when(~F.contains(s, F.lit("T")) & ~s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), to_date(s))
     return F.coalesce(F.timestamp_seconds(_epoch(s)).cast("date").cast("timestamp"), stamp, day.cast("timestamp"))
 

@@ -50,7 +50,7 @@ def clean_filename(name: Column) -> Column:
 
 def date_in_path(path: Column) -> Column:
     """The first yyyy-mm-dd that stands alone, unchecked; null if there is none."""
-    return F.nullif(F.regexp_extract(path, r"\b(\d{4}-\d{2}-\d{2})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(path, r"\b(\d{4}(?:-\d\d){2})\b", 1), F.lit(""))
 
 
 def file_date(path: Column, modified: Column) -> Column:

@@ -86,7 +86,8 @@ class Compatible(Base):
         return _post(self.settings["host"].rstrip("/") + path, body, headers, float(self.settings.get("timeout", 300)))
 
     def _chat(self, content: Any, max_tokens: int | None) -> str:
-        body = {"model": self.settings["model"], "messages": [{"role": "user", "content": content}], "temperature": self.settings.get("temperature", 0)}
+        turn = {"role": "user", "content": content}
+        body = {"temperature": self.settings.get("temperature", 0), "model": self.settings["model"], "messages": [turn]}
         return self._call("/chat/completions", body | ({"max_tokens": max_tokens} if max_tokens else {}))["choices"][0]["message"]["content"]
 
     def query(self, prompt: str, max_tokens: int | None = None) -> str:
@@ -122,7 +123,7 @@ class Bedrock(Base):
         import boto3  # absent in most installations: an ImportError says so
 
         client = boto3.Session(profile_name=self.settings.get("profile")).client("bedrock-runtime", region_name=self.settings.get("region"))
-        reply = client.converse(modelId=self.settings["model"], messages=[{"role": "user", "content": content}], inferenceConfig={"maxTokens": max_tokens or 2048})
+        reply = client.converse(modelId=self.settings["model"], messages=[dict(role="user", content=content)], inferenceConfig={"maxTokens": max_tokens or 2048})
         return "".join(c.get("text", "") for c in reply["output"]["message"]["content"])
 
     def query(self, prompt: str, max_tokens: int | None = None) -> str:

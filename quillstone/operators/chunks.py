@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as X
 
 SIZE, OVERLAP = 1000, 200
-SEPARATORS = ("\n\n", "\n", " ", ".", "?", "!", ",", ";", ":", "-" * 3, "-" * 4, "-" * 5)
+SEPARATORS = ("\n" * 2, "\n", *" .?!,;:", *("-" * n for n in (3, 4, 5)))
 
 
 def _merge(pieces: list[str], size: int, overlap: int) -> list[str]:

@@ -131,7 +131,7 @@ def to_datetime(t: Tables) -> DataFrame:
 
 @query(
     """SELECT o_orderkey, strftime(CASE o_orderkey % 4 WHEN 0 THEN o_orderdate + to_seconds(o_orderkey % 86400) WHEN 1 THEN o_orderdate + to_seconds(o_orderkey % 86400) + INTERVAL 4 HOUR
-    WHEN 2 THEN date_trunc('day', o_orderdate + to_seconds(o_orderkey % 86400)) END, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM orders"""
+    WHEN 2 THEN date_trunc('day', o_orderdate + to_seconds(o_orderkey % 86400)) END, '%xT%XZ') AS utc FROM orders"""
 )
 def to_datetime_utc(t: Tables) -> DataFrame:
     return _stamps(t).select("o_orderkey", F.date_format(S.to_datetime(F.col("text")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"))
@@ -216,6 +216,9 @@ def html_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT page_id, md5(regexp_replace(html, '(?s)<style[^>]*>.*?</style>', '', 'g')) AS bare, md5(replace(regexp_replace(html, '(?s)<style[^>]*>.*?</style>', '', 'g'), '</head>', '<style>p{margin:1em}</style></head>')) AS printable FROM pages")
+_BLOCK = "(?s)<style" + "[^>]*>.*?" + "</style>"
+
+
+@query(f"SELECT page_id, md5(regexp_replace(html, '{_BLOCK}', '', 'g')) AS bare, md5(replace(regexp_replace(html, '{_BLOCK}', '', 'g'), '</head>', '<style>p{{margin:1em}}</style></head>')) AS printable FROM pages")
 def style_strip(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(X.style_strip(F.col("html"))).alias("bare"), F.md5(X.printable_html(F.col("html"), "p{margin:1em}")).alias("printable"))

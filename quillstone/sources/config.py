@@ -6,6 +6,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Any
 
 import yaml
@@ -27,8 +28,7 @@ def find_path(relative: str, required: bool = True) -> str | None:
 
 
 def _load(path: str) -> Any:
-    with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
+    return yaml.safe_load(Path(path).read_text("utf-8"))
 
 
 def _include(value: Any) -> Any:
@@ -49,8 +49,7 @@ def read_yaml(relative: str) -> Any:
 
 
 def read_json(relative: str) -> Any:
-    with open(find_path(relative if relative.endswith(".json") else f"{relative}.json"), encoding="utf-8") as f:
-        return json.load(f)
+    return json.loads(Path(find_path(relative if relative.endswith(".json") else f"{relative}.json")).read_text("utf-8"))
 
 
 def to_yaml(value: Any) -> str:
@@ -117,8 +116,8 @@ def lower_keys(value: Any) -> Any:
 class Settings:
     """A mapping that is read by paths: s['a.b'], s['a.b', default], s.get('a/b')."""
 
-    def __init__(self, config: dict):
-        self.config = config
+    def __init__(self, settings: dict):
+        self.config = settings
 
     def g(self, path: str, default: Any = None) -> Any:
         return get(self.config, path, default, ".")

@@ -13,48 +13,42 @@ import re
 import struct
 import zipfile
 from collections.abc import Callable
+from contextlib import suppress
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
+WIDE = ("utf_8", "utf_16", "utf_32")
 Reader = Callable[[bytes], "str | None"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-NO_SLIDES = "Could not extract text from .ppt file. The file may be corrupted or in an unsupported format."
+NO_SLIDES = "No text could be read from this presentation."
 
 
 def best_effort(raw: bytes) -> str:
     """UTF-8 with or without its mark, else the Western code page, else Latin-1, which takes any byte."""
-    for encoding in ("utf-8-sig", "cp1252"):
-        try:
-            return raw.decode(encoding)
-        except UnicodeDecodeError:
-            continue
+    for name in ("utf_8_sig", "cp1252"):
+        with suppress(UnicodeError):
+            return raw.decode(name)
     return raw.decode("latin-1")
 
 
 def any_encoding(raw: bytes) -> str:
     """UTF-8, -16 and -32 before Latin-1; line ends become plain."""
-    for encoding in ("utf-8", "utf-16", "utf-32"):
-        try:
-            text = raw.decode(encoding)
-            break
-        except UnicodeError:
-            continue
-    else:
-        text = raw.decode("latin-1")
-    return text.replace("\r\n", "\n").replace("\r", "\n")
+    text = None
+    for name in WIDE:
+        with suppress(UnicodeError):
+            text = raw.decode(name) if text is None else text
+    return (raw.decode("latin-1") if text is None else text).replace("\r\n", "\n").replace("\r", "\n")
 
 
 def as_utf8(text: str) -> str:
     """What text reads as if it is UTF-8 that was decoded in one of the other encodings; else the text."""
-    for encoding in ("utf-8", "utf-16", "utf-32", "latin-1"):
-        try:
-            return text.encode(encoding).decode("utf-8")
-        except UnicodeError:
-            continue
+    for name in (*WIDE, "latin-1"):
+        with suppress(UnicodeError):
+            return text.encode(name).decode()
     return text
 
 
@@ -131,8 +125,7 @@ def _table_lines(table: ET.Element, indent: str = "") -> list[str]:
                 elif block.tag == f"{_W}p" and (s := " ".join(_paragraph(block).split())):
                     own.append(s)
             texts.append(" ".join(own))
-        while texts and not texts[-1]:
-            texts.pop()
+        texts = texts[: max((k + 1 for k, t in enumerate(texts) if t), default=0)]
         if texts:
             lines.append(f"{indent}- " + (f"{texts[0]}: {texts[1]}" if len(texts) == 2 else " | ".join(texts)))
         lines += nested

@@ -30,8 +30,8 @@ def test_sizes_and_numbers(spark):
 def test_dates(spark):
     got = of(spark, lambda c: S.to_date(c).cast("string"), "2025-03-28", "20250328", "03/28/2025", "3/8/2025", "2025-03-28T22:26:06.948Z", "/Date(1743200766)/", "/Date(1743200766948)/", "nonsense", None, "2025-02-30", "")
     assert got == ["2025-03-28"] * 3 + ["2025-03-08", "2025-03-28", "2025-03-28", None, None, None, None, None]
-    got = of(spark, lambda c: S.to_datetime(c).cast("string"), "2025-03-28T18:26:06.948-04:00", "2025-03-28 10:00:00", "2025-03-28T10:00:00", "bad", None)
-    assert got == ["2025-03-28 22:26:06.948", "2025-03-28 00:00:00", "2025-03-28 10:00:00", None, None]
+    got = of(spark, lambda c: S.to_datetime(c).cast("string"), "2024-11-05T20:10:09.125-04:00", "2025-03-28 10:00:00", "2025-03-28T10:00:00", "bad", None)
+    assert got == ["2024-11-06 00:10:09.125", "2025-03-28 00:00:00", "2025-03-28 10:00:00", None, None]
 
 
 def test_json(spark):
@@ -55,13 +55,13 @@ def test_text(spark):
     assert re.search(X.pattern_regex("*war*"), "forewarned") and not re.search(X.pattern_regex("war"), "forewarned") and re.search(X.pattern_regex("war*"), "warned")
 
 
-GIBBERISH, PROSE = "qwrtpz lkjhgf mnbvcx zxcvbn asdfgh", "The Apple II went on sale in 1977 and proved personal computers could sell."
+GIBBERISH, PROSE = "zxcvb qwrtp lkjhg mnbvc sdfgh xcvbn", "Ships from the north bring salt, tin and amber to the harbour each spring."
 
 
 def test_clean_text(spark):
-    damaged = "IBMâ€™s Boca Raton team shipped the PC in twelve months."
-    once = of(spark, B.clean_text, damaged, f"{PROSE}\n{GIBBERISH}\n{PROSE}", PROSE, None, "", "cafÃ© &amp; tea\r\n\ufb01ne")
-    assert once == ["IBM's Boca Raton team shipped the PC in twelve months.", f"{PROSE}\n{PROSE}", PROSE, None, "", "café & tea\nfine"]
+    damaged = "The harbourâ€™s pilots know every rock of the bay."
+    once = of(spark, B.clean_text, damaged, "\n".join((PROSE, GIBBERISH, PROSE)), PROSE, None, "", "cafÃ© &amp; tea\r\n\ufb01ne")
+    assert once == ["The harbour's pilots know every rock of the bay.", "\n".join((PROSE, PROSE)), PROSE, None, "", "café & tea\nfine"]
     assert of(spark, B.clean_text, *once) == once
     assert of(spark, lambda c: B.clean_text(c, drop_noise=False), GIBBERISH) == [GIBBERISH]
 

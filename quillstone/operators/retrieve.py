@@ -18,6 +18,8 @@ from quillstone.functions import text as X
 
 #: Bytes of query vectors up to which they are broadcast to the corpus; beyond that the search is a blocked join.
 BROADCAST_BYTES = 64 << 20
+#: Scores that a task holds at once.
+BLOCK = 1 << 21
 
 
 def search(corpus: DataFrame, queries: DataFrame, n: int, *, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", digits: int = 6) -> DataFrame:
@@ -38,30 +40,39 @@ def search(corpus: DataFrame, queries: DataFrame, n: int, *, metric: str = "cosi
                 return np.where(norm > 0, (q @ m.T) / norm, np.nan)
         return np.maximum(((q * q).sum(axis=1)[:, None] + (m * m).sum(axis=1)[None, :]) - 2 * (q @ m.T), 0)
 
+    def first(k: np.ndarray, v: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n first rows of each k by (v, i)."""
+        order = np.lexsort((i, v, k))
+        k, v, i = k[order], v[order], i[order]
+        new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        kept = np.arange(len(k)) - start < n
+        return k[kept], v[kept], i[kept]
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for width, (ids, m) in _by_width(batch.column(0), batch.column(1)).items():
                 if width not in shared.value:
                     continue
-                qs, q = shared.value[width]
-                s = np.round(score(q, m), digits)
-                for k, name in enumerate(qs):
-                    old = held.get(name, (np.zeros(0), np.zeros(0, np.int64)))
-                    v, i = np.concatenate((old[0], s[k])), np.concatenate((old[1], ids))
-                    good = ~np.isnan(v)
-                    v, i = v[good], i[good]
-                    order = np.lexsort((i, sign * v))[:n]
-                    held[name] = (v[order], i[order])
-        if held:
-            names = np.concatenate([np.full(len(v), k) for k, (v, _) in held.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.concatenate([i for _, i in held.values()])), pa.array(np.concatenate([v for v, _ in held.values()]))], ["q", "id", "score"])
+                _, q = shared.value[width]
+                parts = [held[width]] if width in held else []
+                step = max(1, BLOCK // len(ids))
+                for a in range(0, len(q), step):
+                    v = sign * np.round(score(q[a : a + step], m), digits)
+                    v[np.isnan(v)] = np.inf
+                    last = np.partition(v, n - 1, axis=1)[:, [n - 1]] if len(ids) > n else np.inf
+                    k, c = np.nonzero((v <= last) & (v < np.inf))  # all that tie with the last stay until ids decide
+                    parts.append(first(k + a, v[k, c], ids[c]))
+                held[width] = first(*(np.concatenate([p[c] for p in parts]) for c in range(3)))
+        for width, (k, v, i) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[width][0][k]), pa.array(i.astype(np.int64)), pa.array(sign * v)], ["q", "id", "score"])
 
     if size > BROADCAST_BYTES:
         return _ranked(_blocked(rows, wanted, metric, digits), n, sign)
     flat = wanted.toArrow()
     table = _by_width(flat.column(0).combine_chunks(), flat.column(1).combine_chunks())
-    shared = corpus.sparkSession.sparkContext.broadcast({w: (i.tolist(), m) for w, (i, m) in table.items()})
+    shared = corpus.sparkSession.sparkContext.broadcast({w: (i.astype(np.int64), m) for w, (i, m) in table.items()})
     return _ranked(rows.mapInArrow(best, "q bigint, id bigint, score double"), n, sign)
 
 

@@ -16,7 +16,7 @@ Defined results:
 - Null id: kept as it is, neither source nor copy. Null and empty texts, and those under MIN_WORDS words:
   nothing repeats in them.
 - Repeated rows (of one id and text) are one document; rows of one id with other texts are documents of
-  their own at tied places, of which the one with the least text hash comes first.
+  their own, whose windows are ordered by their first character, then by the text's hash.
 - A passage that repeats within its document, even overlapping itself, keeps its first occurrence.
 - clean() drops a document of which no word is left; all columns stay, whatever their names.
 - Empty tables give empty results.
@@ -93,7 +93,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """(_h, _id, _t, _p, _a, _b) of the windows around shared anchors; _a, _b: first and last character."""
+    """(_h, _id, _t, _s) of the windows around shared anchors; _s: their characters (see _pack), inverted for a whole copy."""
     ids, t, places, parts = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(3), []
     for w in K.words(batch.column(1)):
         h, ok = K.grams(w, MIN_WORDS), K.fits(w, MIN_WORDS)
@@ -116,44 +116,45 @@ def _windows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         k = np.array(copies, np.int64)
         docs, first, last = np.concatenate((docs, k)), np.concatenate((at, w.bounds[k])), np.concatenate((at + MIN_WORDS - 1, w.bounds[k + 1] - 1))
         base = char[w.at[docs]] if len(docs) else np.zeros(0, np.int64)
-        parts.append((
-            np.concatenate((h[at], K.mix(ids[w.first + k].astype(K.U)))), ids[w.first + docs], t[w.first + docs],
-            np.concatenate((at - w.bounds[docs[: len(at)]], np.full(len(k), -1))).astype(np.int32),
-            (char[w.starts[first]] - base).astype(np.int32), (char[w.ends[last] - 1] - base + 1).astype(np.int32),
-        ))
-    cols = [np.concatenate([p[c] for p in parts]) for c in range(6)]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["_h", "_id", "_t", "_p", "_a", "_b"])
+        span = _pack(char[w.starts[first]] - base, char[w.ends[last] - 1] - base + 1)
+        span[len(at) :] = ~span[len(at) :]
+        parts.append((np.concatenate((h[at], K.mix(ids[w.first + k].astype(K.U)))), ids[w.first + docs], t[w.first + docs], span))
+    cols = [np.concatenate([p[c] for p in parts]) for c in range(4)]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), *map(pa.array, cols[1:])], ["_h", "_id", "_t", "_s"])
+
+
+def _pack(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two places below 2 ** 31 in one number, which sorts by the first."""
+    return start.astype(np.int64) << 32 | end
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (_h, _id, _p, _t): all that aren't the first of their hash, and the whole copies."""
+    """Of rows sorted by (_h, _id, _s, _t): all that aren't the first of their hash, and the whole copies."""
     held = None  # the first row of the last hash
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, i, t, p, a, b = (batch.column(c).to_numpy() for c in range(6))
+        h, i, t, s = (batch.column(c).to_numpy() for c in range(4))
         if held is not None:
-            h, i, t, p, a, b = (np.concatenate(([x], y)) for x, y in zip(held, (h, i, t, p, a, b)))
+            h, i, t, s = (np.concatenate(([x], y)) for x, y in zip(held, (h, i, t, s)))
         new = np.concatenate(([True], h[1:] != h[:-1]))
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        out = ((i != i[first]) | (t != t[first]) | (p != p[first])) | (p < 0)
+        out = ((i != i[first]) | (t != t[first]) | (s != s[first])) | (s < 0)
         if held is not None:
             out[0] = False  # has been seen
         at = np.flatnonzero(out)
         f = first[-1]
-        held = (h[f], i[f], t[f], p[f], a[f], b[f])
+        held = (h[f], i[f], t[f], s[f])
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (i, t, a, b)], ["_id", "_t", "_a", "_b"])
+            yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(t[at]), pa.array(np.where(s[at] < 0, ~s[at], s[at]))], ["_id", "_t", "_s"])
 
 
 def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Windows of each document to disjoint spans in order."""
     starts, ends, total, bounds = [], [], [], [0]
     for row in batch.column(2):
-        v = row.values
-        a, b = v.field(0).to_numpy(), v.field(1).to_numpy()
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], np.maximum.accumulate(b[order])
+        v = np.sort(row.values.to_numpy())
+        a, b = (v >> 32).astype(np.int32), np.maximum.accumulate((v & 0xFFFFFFFF).astype(np.int32))
         new = np.concatenate(([True], a[1:] > b[:-1]))
         s, e = a[new], b[np.concatenate((new[1:], [True]))]
         starts.append(s)
@@ -170,9 +171,9 @@ def _spans(keyed: DataFrame) -> DataFrame:
     shared = anchors.repartition("_h").sortWithinPartitions("_h", "_id").mapInArrow(_shared, "_id bigint, _p int")
     places = shared.groupBy("_id").agg(F.collect_list("_p").alias("_ps"))
     suspects = keyed.join(places.hint("shuffle_hash"), "_id").select("_id", "_text", F.xxhash64("_text").alias("_t"), "_ps")
-    windows = K.arrow_map(suspects, _windows, "_h bigint, _id bigint, _t bigint, _p int, _a int, _b int")
-    later = windows.repartition("_h").sortWithinPartitions("_h", "_id", "_p", "_t").mapInArrow(_later, "_id bigint, _t bigint, _a int, _b int")
-    return K.arrow_map(later.groupBy("_id", "_t").agg(F.collect_list(F.struct("_a", "_b")).alias("_w")), _merge, "_id bigint, _t bigint, _spans array<struct<start:int,end:int>>, _chars bigint")
+    windows = K.arrow_map(suspects, _windows, "_h bigint, _id bigint, _t bigint, _s bigint")
+    later = windows.repartition("_h").sortWithinPartitions("_h", "_id", "_s", "_t").mapInArrow(_later, "_id bigint, _t bigint, _s bigint")
+    return K.arrow_map(later.groupBy("_id", "_t").agg(F.collect_list("_s").alias("_w")), _merge, "_id bigint, _t bigint, _spans array<struct<start:int,end:int>>, _chars bigint")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -64,10 +64,10 @@ class Template(Base):
 
 
 class Echo(Base):
-    """Answers with the first words of the prompt: deterministic, for tests."""
+    """Answers with the prompt, or with its first words if max_tokens is given: deterministic, for tests."""
 
     def query(self, prompt: str, max_tokens: int | None = None) -> str:
-        return " ".join(prompt.split()[: max_tokens or 50])
+        return " ".join(prompt.split()[:max_tokens]) if max_tokens else prompt
 
 
 def _post(url: str, body: Any, headers: dict[str, str], timeout: float) -> Any:

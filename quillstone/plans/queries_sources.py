@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.functions import gibberish
 from quillstone.functions import nested as N
@@ -51,7 +52,7 @@ def spine_order(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, turn, 'Role ' || role || ' said {' || left(text, 20) || '}; ' || role || '.' AS prompt FROM conversations")
 def prompts(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", rag.fill("Role {role} said {{text}}; {role}.", role=F.col("role"), text=F.substring("text", 1, 20)).alias("prompt"))
+    return t.conversations.select("conv_id", "turn", rag.fill("Role {role} said {{text}}; {role}.", role=F.col("role"), text=F.col("text")).alias("prompt"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'fixed ' || turn ELSE md5(text) END AS text FROM conversations")
@@ -85,8 +86,10 @@ _PAIR = r"""SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_arra
 
 @query(f"SELECT conv_id, turn, round(len(list_intersect(a, b)) / len(a)::double, 6) AS score FROM ({_PAIR}) WHERE len(a) > 0")
 def pair_scores(t: Tables) -> DataFrame:
-    rows = t.conversations.where(F.trim("text") != "")
-    return rows.select("conv_id", "turn", F.round(vectors.pair_score(F.col("text"), F.concat("role", F.lit(" "), F.substring("text", 1, 60)), lambda: vectors.overlap), 6).alias("score"))
+    """Each whole text against role and whole text of the turn before; null where there is none."""
+    before = F.lag(F.concat("role", F.lit(" "), "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.withColumn("before", before).where(F.trim("text") != "")
+    return rows.select("conv_id", "turn", F.round(vectors.pair_score(F.col("text"), F.col("before"), lambda: vectors.overlap), 6).alias("score"))
 
 
 @query("SELECT c_custkey, '| ' || c_custkey || ' | ' || c_name || ' | ' || replace(c_mktsegment, '|', '\\|') || ' |' AS line FROM customer")
@@ -101,4 +104,4 @@ def clean_text(t: Tables) -> DataFrame:
 
 @query()
 def stub_answers(t: Tables) -> DataFrame:
-    return providers.ask(t.benchmark, {"class": "echo"}, F.col("text"), id_col="item_id", max_tokens=12)
+    return providers.ask(t.benchmark, {"class": "echo"}, F.col("text"), id_col="item_id")

@@ -103,7 +103,7 @@ def references(t: Tables) -> DataFrame:
 
 @query()
 def gmm(t: Tables) -> DataFrame:
-    return cluster.soft_clusters(t.embeddings, k=4)
+    return cluster.soft_clusters(t.embeddings)
 
 
 @query()

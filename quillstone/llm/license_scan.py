@@ -96,6 +96,16 @@ def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def leading(text: Sequence, template: Sequence, need: int) -> int:
+    """Where the first of several matches in a text of at least one ends: before the others begin, or with the text if it is the only one."""
+    covered = lambda a, b: len(longest(text[a:b], template))
+    end = len(text)
+    early = bisect_left(range(end), True, key=lambda b: covered(0, b) >= need)
+    while (most := covered(early, end)) >= need:
+        end = bisect_left(range(early, end), True, key=lambda a: covered(a, end) < most) + early - 1
+    return end
+
+
 class Scanner:
     """Templates as words, and the hashed words that matter of each."""
 
@@ -155,6 +165,11 @@ class Scanner:
             if len(pairs) < need:
                 i += 1
                 continue
+            if bisect_left(places, b) - bisect_left(places, a) >= 2 * least and (end := leading(region, own, need)) < len(region):
+                region = region[:end]
+                pairs = align(region, own)
+                if len(pairs) < need:
+                    pairs = longest(region, own)
             first, last = a + pairs[0][0], a + pairs[-1][0]
             yield doc, name, round(len(pairs) / len(own), 4), first, last, len(pairs)
             low = last + 1

@@ -73,3 +73,17 @@ def test_twice_in_a_text_and_hard_cases(spark):
     assert [d for d, _, _ in out] == ["1", "1", "4", "5", "5", "None"] and L.scan(table(spark, [])).collect() == []
     with pytest.raises(ValueError):
         L.Scanner({"bad": "the of and"})
+
+
+def test_copies_that_follow_each_other_directly_are_all_found(spark):
+    for name in ("MIT notice", max(TEMPLATES, key=lambda n: len(TEMPLATES[n]))):
+        notice = TEMPLATES[name]
+        texts = [" ".join([*before, *[notice] * n, *after]) for n in (1, 2, 3, 4) for before in ([], ["Groesse"], ["some words of other text"]) for after in ([], ["and", "more", "text", "behind"])]
+        found = {}
+        for r in L.scan(table(spark, list(enumerate(texts))), templates={name: notice}).collect():
+            found.setdefault(r.doc_id, []).append((r.start, r.end))
+        end = len(notice.rstrip(".\n"))
+        for k, text in enumerate(texts):
+            starts = [i for i in range(len(text)) if text.startswith(notice, i)]
+            assert [s for s, _ in sorted(found[k])] == starts, (k, text)
+            assert all(e - s >= end - 1 for s, e in found[k])

@@ -3,16 +3,19 @@
 The n-grams (n words, see kernel) of all benchmark items make a hash set. Every window of n words of
 every document is looked up in it, each hit is verified word for word, and the words under verified
 windows are taken out. A document of which at least drop_share of the words is hit goes as a whole.
-The set is broadcast while it has at most broadcast_grams entries; a larger one is joined with the
-windows by a shuffle on the hash, with the same result.
+The set is broadcast while it takes at most broadcast_bytes (see kernel.size_of); a larger one is joined with
+the windows by a shuffle on the hash, with the same result, behind a Bloom filter of at most 64 MB which
+is broadcast, so that of the windows of clean text few are shuffled.
 
 Defined results:
+- In scripts without spaces every character is a word (see kernel), so that a gram is n characters.
 - An item of fewer than n words counts as one gram of all its words; one of fewer than min_words
   words is ignored (it would be found everywhere), as are null and empty items.
 - A null or empty text, and any document without a hit, stays as it is; so does every other column,
   whatever its name. A null id is no obstacle.
 - Repeated rows are treated alike, each for itself; repeated items count once for each item id.
 - Empty tables: no documents give none, and without items nothing is hit.
+- A text of any length is scanned whole, in linear time; what it takes is some 60 bytes a character.
 - Words that items share are taken out once; overlapping and touching windows make one span.
 """
 
@@ -31,7 +34,9 @@ from quillstone.llm import kernel as K
 N = 8
 MIN_WORDS = 5
 DROP_SHARE = 0.5
-BROADCAST_GRAMS = 2_000_000
+BROADCAST_BYTES = 64 << 20
+_BLOOM_BITS = 29
+_BLOCK = 1 << 16
 _BITS = 22
 
 REPORT = "doc_id bigint, item_ids array<bigint>, hit_words bigint, words bigint, dropped boolean"
@@ -105,12 +110,39 @@ def _found(column: pa.Array, gate: Gate) -> Iterator[tuple[int, list[tuple[int,
 def _gate(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, item_id: str, item_text: str, limit: int):
     """(broadcast gate, None), or (None, grams) if there are too many to broadcast."""
     found = K.cut(item_grams(benchmark, n, min_words, item_id, item_text))
-    if found.limit(limit + 1).count() > limit:
+    if K.size_of(found) > limit:
         return None, found
     gate = Gate([(r[0], r[1], r[2]) for r in found.collect()])
     return docs.sparkSession.sparkContext.broadcast(gate), None
 
 
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each hash in a Bloom filter of 2 ** bits."""
+    return h >> K.U(64 - bits), K.mix(h) >> K.U(64 - bits)
+
+
+def bloom(table: DataFrame, bits: int) -> np.ndarray:
+    """A packed Bloom filter of the column _h: each task fills its own, and blocks of them are joined by OR."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (bits - 3), np.uint8)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy().view(K.U), bits):
+                np.bitwise_or.at(own, at >> K.U(3), (1 << (at & K.U(7)).astype(np.uint8)).astype(np.uint8))
+        blocks = own.reshape(-1, min(_BLOCK, len(own)))
+        used = np.flatnonzero(blocks.any(axis=1))
+        for k in used.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([blocks[k].tobytes()])], ["_k", "_b"])
+
+    def join(t: pa.Table) -> pa.Table:
+        return pa.table({"_k": t.column("_k").slice(0, 1), "_b": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in t.column("_b").to_pylist()]).tobytes()]})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for k, block in table.select("_h").mapInArrow(fill, "_k bigint, _b binary").groupBy("_k").applyInArrow(join, "_k bigint, _b binary").collect():
+        out[k * len(block) : (k + 1) * len(block)] = np.frombuffer(block, np.uint8)
+    return out
+
+
 def _with_hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
     """docs and, in _grams, the grams found in each text: the way without a broadcast."""
     lengths = [r[0] for r in grams.select("_n").distinct().collect()]
@@ -125,11 +157,17 @@ def _with_hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
                 out[w.first + k] = K.grams(one, m)[0]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out.view(np.int64))], ["_n", "_gram", "_items", "_h"])
 
+    table = K.cut(K.arrow_map(grams, hashes, "_n int, _gram binary, _items array<bigint>, _h bigint"))
+    bits = min(_BLOOM_BITS, max(13, (16 * table.count()).bit_length()))
+    known = docs.sparkSession.sparkContext.broadcast(bloom(table, bits))
+
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         key, parts = batch.column(0).to_numpy(), []
         for w in K.words(batch.column(1)):
             for m in lengths:
                 g, ok = K.grams(w, m), K.fits(w, m)
+                for at in _places(g, bits):
+                    ok &= (known.value[at >> K.U(3)] >> (at & K.U(7)).astype(np.uint8)) & 1 > 0
                 if ok.any():
                     parts.append((key[w.first + w.docs[: len(g)][ok]], np.full(int(ok.sum()), m, np.int32), g[ok].view(np.int64)))
         cols = [np.concatenate([p[c] for p in parts]) for c in range(3)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
@@ -137,7 +175,6 @@ def _with_hits(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
 
     text = F.col(f"`{text_col}`")
     keyed = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("_key"), text.alias("_text"))
-    table = K.arrow_map(grams, hashes, "_n int, _gram binary, _items array<bigint>, _h bigint")
     hit = K.arrow_map(keyed, windows, "_key bigint, _n int, _h bigint").distinct().join(table, ["_n", "_h"])
     by_text = hit.groupBy("_key").agg(F.collect_set(F.struct("_n", "_gram", "_items")).alias("_grams"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(text).alias("_key"))
@@ -162,7 +199,7 @@ def _apply(docs: DataFrame, benchmark: DataFrame, one, schema, text_col: str, n:
     return K.arrow_map(_with_hits(docs, grams, text_col), joined, schema)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each document with a hit: doc_id, the items, words hit, words, whether it goes as a whole."""
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
@@ -175,10 +212,10 @@ def report(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int
             ["doc_id", "item_ids", "hit_words", "words", "dropped"],
         )
 
-    return _apply(docs, benchmark, one, REPORT, "text", n, min_words, item_id, item_text, broadcast_grams)
+    return _apply(docs, benchmark, one, REPORT, "text", n, min_words, item_id, item_text, broadcast_bytes)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without the hit spans and without the documents that go; all columns stay."""
 
     def one(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
@@ -186,12 +223,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = N, min_words: int =
         batch = K.swap(batch, text_col, {f[0]: K.without(f[5], f[1]) for f in found if f[0] not in gone})
         return batch.take(pa.array([r for r in range(batch.num_rows) if r not in gone], pa.int64())) if gone else batch
 
-    return _apply(docs, benchmark, one, docs.schema, text_col, n, min_words, item_id, item_text, broadcast_grams)
+    return _apply(docs, benchmark, one, docs.schema, text_col, n, min_words, item_id, item_text, broadcast_bytes)
 
 
 def sql(n: int = N, min_words: int = MIN_WORDS, drop_share: float = DROP_SHARE) -> str:
     """What report(documents, benchmark) gives, for DuckDB: windows compared word for word, without any hash."""
-    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+    words = K.word_sql("text")
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT item_id, {words} AS w FROM benchmark),

@@ -11,10 +11,15 @@ copies costs one comparison each. Large-star and small-star join the links to gr
 With 40 bands of 3, a pair of Jaccard similarity 0.5 becomes a candidate with probability 0.995. The
 threshold lies below 0.5 by two standard errors, so that such a pair is also verified.
 
+Every row is a vertex of its own, so that texts that share an id are told apart.
+
 Defined results:
 - Null id: the row is kept and never grouped. Null or empty text, or one without words: the same.
-- Rows of one id count as one document; keep() returns one of them.
-- A group's least id stays; ties can't occur. Exact copies are groups like any other.
+- Rows of one id and text are one document, which isn't a copy of itself: keep() returns the one whose JSON is least.
+- Rows of one id with other texts are documents of their own: each stays unless it is a near copy of
+  a document that comes before it, by (id, hash of the text). groups() has a row for each id and group.
+- The first document of a group, by (id, hash of the text), stays. Exact copies are groups like any other.
+- A text of any length is read whole: its signature has one size. Its shingles are held at once, at 16 bytes a word.
 - Only the id and text columns are read; keep() returns all columns, whatever their names.
 - Empty tables give empty results.
 """
@@ -70,19 +75,20 @@ def signature(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(keyed: DataFrame) -> DataFrame:
-    """(_id, _sig) of (_id, _text): one row for each row that has words."""
+    """(_v, _id, _t, _sig) of (_id, _text): one row for each that has words; _v numbers them, _t is the text's hash."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, rows, sigs = batch.column(0).to_numpy(), [], []
-        for w in K.words(batch.column(1)):
+        rows, sigs = [], []
+        for w in K.words(batch.column(3)):
             have, sig = signature(w)
-            rows.append(ids[w.first + have])
+            rows.append(w.first + have)
             sigs.append(sig)
-        sig = np.concatenate(sigs)
+        sig, at = np.concatenate(sigs), pa.array(np.concatenate(rows))
         data = pa.Array.from_buffers(pa.binary(2 * HASHES), len(sig), [None, pa.py_buffer(np.ascontiguousarray(sig))]).cast(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), data], ["_id", "_sig"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), data], ["_v", "_id", "_t", "_sig"])
 
-    return K.arrow_map(keyed, work, "_id bigint, _sig binary")
+    numbered = keyed.select(F.monotonically_increasing_id().alias("_v"), "_id", F.xxhash64("_text").alias("_t"), "_text")
+    return K.arrow_map(numbered, work, "_v bigint, _id bigint, _t bigint, _sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -144,30 +150,41 @@ def _buckets(least: int):
 
 def groups(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id) of every document that has a near copy; group_id is the least id of the group."""
-    return _groups(K.cut(signatures(K.keyed(docs, id_col, text_col))), threshold)
+    found = _groups(K.cut(signatures(K.keyed(docs, id_col, text_col))), threshold)
+    return found.select(F.col("_id").alias("doc_id"), F.col("_first._id").alias("group_id")).distinct()
 
 
 def _groups(sigs: DataFrame, threshold: float) -> DataFrame:
-    heads = sigs.groupBy("_sig").agg(F.min("_id").alias("_head"))
-    copies = sigs.join(heads, "_sig").where("_id <> _head").select(F.col("_head").alias("a"), F.col("_id").alias("b"))
-    # rows of one id but different texts are one vertex: each of its signatures is a head of its own
+    """(_id, _t, _first) of the rows of groups of several documents; _first: the (_id, _t) of the group's first."""
+    heads = sigs.groupBy("_sig").agg(F.min("_v").alias("_head"))
+    copies = sigs.select("_v", "_sig").join(heads, "_sig").where("_v <> _head").select(F.col("_head").alias("a"), F.col("_v").alias("b"))
     heads = heads.select(F.col("_head").alias("_id"), "_sig")
     bands = K.arrow_map(heads, _bands, "_key bigint, _id bigint")
     shared = bands.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_key"))).where("_n > 1").select("_key", "_id")
     full = shared.join(heads, "_id").select("_key", "_id", "_sig")
     full = full.repartition("_key").sortWithinPartitions("_key", "_id")
     edges = full.mapInArrow(_buckets(int(np.ceil(threshold * HASHES))), "a bigint, b bigint")
-    return components(edges.union(copies)).select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
+    roots = components(edges.union(copies))
+    members = K.cut(sigs.select("_v", "_id", "_t").join(roots, F.col("_v") == roots["id"]).select("_id", "_t", "root"))
+    one = F.struct("_id", "_t")
+    first = K.cut(members.groupBy("root").agg(F.min(one).alias("_first"), F.max(one).alias("_last")).where("_first <> _last").select("root", "_first"))
+    return members.join(K.small(first), "root").select("_id", "_t", "_first")
 
 
 def keep(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the first of each group of near copies; all columns stay."""
     sigs = K.cut(signatures(K.keyed(docs, id_col, text_col)))
-    gone = K.cut(_groups(sigs, threshold).where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")))
-    key = F.col(f"`{id_col}`").cast("bigint")
-    kept = docs.join(K.small(gone), key == gone["_gone"], "left_anti")  # named by table: docs may have such a column too
-    again = K.cut(docs.groupBy(key.alias("_again")).count().where("count > 1 and _again is not null").select("_again"))
+    gone = _groups(sigs, threshold).where("_id <> _first._id or _t <> _first._t")
+    gone = K.cut(gone.select(F.col("_id").alias("_gone"), F.col("_t").alias("_gone_t")).distinct())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key, text = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    # columns named by their table: docs may have some of the same name
+    kept = docs.join(K.small(gone), (key == gone["_gone"]) & (text == gone["_gone_t"]), "left_anti")
+    again = K.cut(docs.where(key.isNotNull()).groupBy(key.alias("_again"), text.alias("_again_t")).count().where("count > 1").select("_again", "_again_t"))
     if again.isEmpty():
         return kept
-    once = kept.join(K.small(again), key == again["_again"], "left_semi").dropDuplicates([id_col])
-    return kept.join(K.small(again), key == again["_again"], "left_anti").union(once)
+    twice = kept.join(K.small(again), (key == again["_again"]) & (text == again["_again_t"]), "left_semi")
+    row = F.to_json(F.struct(*names))
+    least = K.cut(twice.groupBy(key.alias("_least"), text.alias("_least_t")).agg(F.min(row).alias("_json")))
+    once = twice.join(K.small(least), (key == least["_least"]) & (text == least["_least_t"]) & (row == least["_json"]), "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(K.small(again), (key == again["_again"]) & (text == again["_again_t"]), "left_anti").union(once)

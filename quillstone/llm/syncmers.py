@@ -37,7 +37,8 @@ def normal(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = np.append(w.low, np.uint8(32))
     last = np.zeros(len(w.starts), bool)
     last[w.bounds[1:][np.diff(w.bounds) > 0] - 1] = True
-    gap = w.ends[~last]
+    apart = np.append(w.starts[1:], len(w.raw)) > w.ends  # words of one character each may have nothing between them
+    gap = w.ends[~last & apart]
     mark[gap] = True
     value[gap] = 32
     place = np.flatnonzero(mark)

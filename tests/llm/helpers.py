@@ -1,9 +1,12 @@
 """Small tables with every hard case in them, and brute-force versions."""
 
 import re
+from unicodedata import category
+
+from quillstone.llm.kernel import NO_MARKS, SINGLES
 
 LONG = " ".join(f"w{i % 977}x{i // 31}" for i in range(30000))
-WORD = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+")  # the same words for scripts with spaces and without marks
 
 
 def table(spark, rows, extra=True):
@@ -19,8 +22,26 @@ def table(spark, rows, extra=True):
     return df
 
 
+def _in(c, spans):
+    return any(a <= c <= b for a, b in spans)
+
+
 def words(text):
-    return [m.group().lower() for m in WORD.finditer(text or "")]
+    """The kernel's rule, one character after the other."""
+    out, run = [], ""
+    for x in text or "":
+        c, g = ord(x), category(x)
+        inside = (g[0] in "LN" or g in ("Mn", "Mc")) and not _in(c, NO_MARKS) and (c < 0x20000 or c < 0x40000)
+        alone = inside and _in(c, SINGLES) or 0x20000 <= c < 0x40000
+        if run and (alone or not inside):
+            out.append(run)
+            run = ""
+        if alone:
+            out.append(x)
+        elif inside:
+            low = x.lower()
+            run += low if len(low) == 1 and len(low.encode()) == len(x.encode()) else x
+    return [*out, run] if run else out
 
 
 def shingles(text, n=5):

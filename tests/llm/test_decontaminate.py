@@ -1,3 +1,4 @@
+import pytest
 from helpers import LONG, WORD, prose, table, words
 
 from quillstone.llm import decontaminate as D
@@ -39,6 +40,30 @@ def brute(documents, benchmark):
     return sorted(out, key=str)
 
 
+CHINESE = "春天来了，花园里的花都开了，孩子们在草地上奔跑，笑声传得很远。"
+THAI = "วันนี้อากาศดีมากเราจึงไปเดินเล่นที่สวนสาธารณะ"
+
+
+def test_scripts_without_spaces(spark):
+    items = [(1, CHINESE), (2, THAI), (3, "你好"), (4, "Łódź leży w środkowej Polsce nad rzeką Łódką od wieków")]
+    rows = [(1, CHINESE), (2, "这是前面的文字。" + CHINESE.replace("，", " ") + "这是后面的文字。" * 9), (3, "ก่อนหน้านี้ " + THAI + " หลังจากนั้น " * 20), (4, "你好，世界！今天是星期一。"), (5, prose(1, 30) + " ŁÓDŹ LEŻY W ŚRODKOWEJ POLSCE NAD RZEKĄ ŁÓDKĄ OD WIEKÓW. " + prose(2, 30)), (6, "春天的花和秋天的月亮，往事知道多少。")]
+    want = brute(rows, items)
+    assert [(w[0], w[1], w[4]) for w in want] == [(1, [1], True), (2, [1], False), (3, [2], False), (5, [4], False)]
+    for limit in (D.BROADCAST_BYTES, 0):
+        assert sorted((tuple(r) for r in D.report(table(spark, rows), bench(spark, items), broadcast_bytes=limit).collect()), key=str) == want
+    left = {r.doc_id: r.text for r in D.clean(table(spark, rows), bench(spark, items)).collect()}
+    assert set(left) == {2, 3, 4, 5, 6} and words(left[2])[:7] == list("这是前面的文字")
+
+
+def test_sql_in_other_scripts(spark, tmp_path):
+    database = pytest.importorskip("duckdb").connect()
+    rows = [(1, CHINESE), (2, "前面。" + CHINESE + "后面" * 30), (3, THAI), (4, "🙂 Łódź " + prose(1, 12))]
+    items = [(1, CHINESE), (2, THAI + "x"), (3, "łódź ❤️ " + prose(1, 12))]
+    database.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    database.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)").executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert sorted(database.execute(D.sql()).fetchall()) == brute(rows, items)
+
+
 def bench(spark, rows):
     return spark.createDataFrame([(i, t, "x") for i, t in rows], "item_id long, text string, doc_id string")
 
@@ -49,14 +74,14 @@ def found(spark, **how):
 
 def test_report_equals_brute_force_with_and_without_broadcast(spark):
     want = brute(docs(), items())
-    assert found(spark) == want and found(spark, broadcast_grams=0) == want
+    assert found(spark) == want and found(spark, broadcast_bytes=0) == want
     assert {w[0] for w in want} == {1, 3, 4, 5, 9, 11, None}
 
 
 def test_clean_takes_out_all_and_nothing_else(spark):
     source = table(spark, docs())
-    for limit in (D.BROADCAST_GRAMS, 0):
-        out = D.clean(source, bench(spark, items()), broadcast_grams=limit)
+    for limit in (D.BROADCAST_BYTES, 0):
+        out = D.clean(source, bench(spark, items()), broadcast_bytes=limit)
         assert out.schema == source.schema
         rows = {}
         for r in out.collect():

@@ -26,49 +26,68 @@ def rows():
     out = [(k, good(k)) for k in range(60)] + [(100 + k, good(k) + " " + prose(700 + k, 3)) for k in range(8)] + [(110, good(3))]
     out += [(200 + k, lines(3000 + 40 * k, 14) + "\n" + passage + ".\n" + lines(6000 + 40 * k, 3)) for k in range(3)]
     out += [(300, lines(9000, 8) + "\n" + item + ".\n" + lines(9100, 2)), (301, item + ". Some more."), (302, prose(52, 60) + " " + prose(53, 9) + "\n" + prose(52, 60))]
-    return out + [(400 + k, junk(k)) for k in range(40)] + [(500, None), (501, ""), (502, " \n ")]
+    out += [(310, LONG), (320, lines(20000, 3)), (320, lines(21000, 4)), (320, lines(21000, 4)), (None, lines(22000, 3))]
+    return out + [(400 + k, junk(k)) for k in range(40)] + [(500, None), (501, ""), (502, " \n "), (None, None), (503, "é"), (503, None)]
 
 
 ITEMS = [(1, prose(51, 20)), (2, prose(54, 30)), (3, "too short"), (4, None)]
+LONG = lines(100000, 3000)
 
 
-@pytest.fixture
-def folder(spark, tmp_path):
-    table(spark, rows(), extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("pipeline")
+    table(spark, rows()).write.parquet(str(path / "documents.parquet"))
     labels = [(k, 1, 0) for k in range(40)] + [(400 + k, 0, 0) for k in range(25)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    return str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
 
 
 def brute():
-    """doc_id to words; the quality stage is held against how the documents were made."""
-    docs = {i: t for i, t in rows() if i < 400}
+    """Words of each (doc_id, text before); the quality stage is held against how the documents were made."""
+    docs = dict(enumerate(sorted({(i, t) for i, t in rows() if i is not None and i < 400}, key=lambda r: r[0])))
+    of = {k: i for k, (i, _) in docs.items()}
+    docs = {k: t for k, (_, t) in docs.items()}
     sets = {i: shingles(t) for i, t in docs.items()}
     top = roots([(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.5], sets)
     docs = {i: t for i, t in docs.items() if top[i] == i}
     for i, spans in repeated(list(docs.items())).items():
         docs[i] = substring_dedup.cut_spans(docs[i], spans)
     docs = {i: t for i, t in docs.items() if any(c.isalnum() for c in t)}
+    docs[None], of[None] = lines(22000, 3), None
     gone = {i for i, _, _, _, dropped in contaminated(list(docs.items()), ITEMS) if dropped}
     grams = {tuple(w[k : k + 8]) for _, t in ITEMS if len(w := words(t)) >= 8 for k in range(len(w) - 7)}
-    out = {}
+    out = []
     for i, t in docs.items():
         if i not in gone:
             w = words(t)
             hit = {p for k in range(len(w) - 7) if tuple(w[k : k + 8]) in grams for p in range(k, k + 8)}
-            out[i] = [x for p, x in enumerate(w) if p not in hit]
-    return out
+            out.append((of[i], [x for p, x in enumerate(w) if p not in hit]))
+    return sorted(out, key=str)
 
 
 def test_run_equals_brute_force(spark, folder):
     want = brute()
-    assert 301 not in want and 110 not in want and not {100, 500} & set(want) and len(want[201]) < len(want[200])
+    ids = [i for i, _ in want]
+    assert not {301, 110, 100, 500} & set(ids) and {310, None} <= set(ids) and ids.count(320) == 2
     out = P.run(spark, folder)
-    texts = {r.doc_id: r.text for r in bpe.decode(out).collect()}
     got = out.collect()
+    texts = [(r.doc_id, words(r.text)) for r in bpe.decode(out).collect()]
     assert all(r.round_trip and r.n_tokens == len(r.tokens) for r in got) and len(got) == len(texts)
-    assert {i: words(t) for i, t in texts.items()} == want
+    assert sorted((t for t in texts if t[0] != 503), key=str) == want  # a single letter may be judged either way
+
+
+def test_only_the_last_result_stays(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    K.shared(spark)
+    home = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(home))
+    out = P.run(spark, str(tmp_path))
+    new = set(os.listdir(home)) - before
+    assert len(new) == 1 and os.listdir(os.path.join(home, new.pop())) == [str(len(P.STAGES) - 1)]
+    assert out.collect() == []
 
 
 def test_stages_return_the_columns_of_documents(spark, folder):
@@ -80,12 +99,6 @@ def test_stages_return_the_columns_of_documents(spark, folder):
     assert cleaned.n_chars == len(cleaned.text) < len(dict(rows())[201])
 
 
-def test_empty_tables(spark, tmp_path):
-    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
-        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    assert P.run(spark, str(tmp_path)).collect() == []
-
-
 def test_checkpoints_follow_the_session(spark):
     K.shared(spark)
     assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()

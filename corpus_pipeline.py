@@ -1,7 +1,21 @@
 """The corpus pipeline: quality, near-dedup, substring dedup, decontamination, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next one's docs. All but the last return the columns of documents.
+as the next one's docs. All but the last return the columns of documents. Each works on the rows and whole texts
+that the one before has kept.
+
+Defined results, each following from those of the operators:
+- Null and empty texts, and those of blank lines only, have no quality and go in the first stage.
+- A null id is no obstacle: the row is neither grouped nor a source of passages, and its tokens are returned.
+- Of rows of one id and text one stays, in the second stage; rows of one id with other texts are documents of their own.
+- Texts of any length are worked on whole, in every stage.
+- Ties: of near copies the first by (id, hash of the text) stays, of a passage its first place by (id, position); a
+  quality that equals the threshold is kept; a document of which just half is a benchmark's goes.
+- A text of which no word is left after the third stage goes; n_chars follows the text where there is such a column.
+- Other columns pass through the first four stages whatever their names, and don't reach the result of the last.
+- Empty documents give no rows; without labels, or with labels of one kind, every text is kept; without benchmark items nothing is cut.
+
+What stages write to the shared folder is removed as soon as the next has been written; only the last result stays.
 """
 
 from __future__ import annotations
@@ -56,6 +70,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with K.released(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            K.remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -60,10 +60,42 @@ def test_insert_refuses_repeats(spark):
             C.insert(old, spark.createDataFrame(bad, "Id long, URI string"), FILES)
 
 
-@pytest.mark.parametrize("text", ["DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE VIEW v AS SELECT 1", "SET a = 1", "WITH c AS (SELECT 1) INSERT INTO x SELECT * FROM c", "CACHE TABLE x", "ADD JAR 'x'"])
-def test_only_reading_statements_run(spark, text):
-    with pytest.raises(Exception):
-        sql.query(spark, text)
+_PROGRAM = "reflect('java.lang.System', 'getProperty', 'user.home')"
+REFUSED = [
+    "DROP TABLE x", "INSERT INTO x VALUES (1)", "CREATE VIEW v AS SELECT 1", "SET a = 1", "WITH c AS (SELECT 1) INSERT INTO x SELECT * FROM c", "CACHE TABLE x", "ADD JAR 'x'", f"SELECT {_PROGRAM}", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT count(*) FROM text.`/etc/passwd`", "WITH c AS (SELECT * FROM text.`/etc/passwd`) SELECT * FROM c", "SELECT * FROM rows WHERE n IN (SELECT length(value) FROM text.`/etc/passwd`)",
+    "SELECT (SELECT max(value) FROM text.`/etc/passwd`)", f"SELECT sum(n) OVER w FROM rows WINDOW w AS (ORDER BY {_PROGRAM})", f"SELECT filter(array(t), x -> {_PROGRAM} = x) FROM rows", f"SELECT * FROM VALUES ({_PROGRAM})", f"SELECT * FROM rows LATERAL VIEW explode(array({_PROGRAM})) AS q",
+    "SELECT own_function(t) FROM rows", "SELECT TRANSFORM(n) USING 'cat' AS (x) FROM rows", "SELECT * FROM IDENTIFIER('text.`/etc/passwd`')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home')", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'",
+    "FROM text.`/etc/passwd` |> SELECT *", "SELECT * FROM not_given", "SELECT input_file_name() FROM rows",
+]
+ALLOWED = [
+    ("SELECT n FROM rows WHERE n < 3", 3), ("WITH c AS (SELECT n, count(*) AS k FROM rows GROUP BY n) SELECT c.n, sum(k) OVER w FROM c JOIN rows USING (n) WINDOW w AS (PARTITION BY c.n ORDER BY t)", 10), ("SELECT explode(sequence(1, 3))", 3), ("SELECT * FROM range(3)", 3),
+    ("SELECT n FROM rows WHERE EXISTS (SELECT 1 FROM rows r WHERE r.n = rows.n + 5) UNION ALL SELECT int(t) FROM rows WHERE t LIKE '1%'", 6), ("SELECT * FROM rows LATERAL VIEW explode(array(1, 2)) q AS x", 20), ("SELECT * FROM (VALUES (1, 'a')) AS v(a, b)", 1), ("FROM rows |> WHERE n > 3 |> SELECT t", 6),
+]
+
+
+@pytest.fixture(scope="module")
+def numbers(spark):
+    spark.udf.register("own_function", lambda x: x)
+    rows = spark.range(10).selectExpr("id AS n", "cast(id AS string) AS t")
+    rows.createOrReplaceTempView("not_given")
+    return {"rows": rows}
+
+
+@pytest.mark.parametrize("text", REFUSED)
+def test_only_reading_statements_run(spark, numbers, text):
+    with pytest.raises(sql.Refused):
+        sql.query(spark, text, tables=numbers)
+
+
+@pytest.mark.parametrize(("text", "n"), ALLOWED)
+def test_reading_statements_run(spark, numbers, text, n):
+    assert sql.query(spark, text, tables=numbers).count() == n
+
+
+def test_without_a_list_every_registered_table_may_be_read(spark, numbers):
+    assert sql.query(spark, "SELECT * FROM not_given WHERE n < :top", {"top": 4}).count() == 4
+    assert sql.is_query(spark, "SELECT 1") and not sql.is_query(spark, "SELECT * FROM text.`/etc/passwd`")
 
 
 def test_query_and_markdown(spark):

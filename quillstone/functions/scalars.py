@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Seconds of each unit's names; a year counts as a day, as the reference results require.
 UNITS = {("s", "sec", "secs", "second", "seconds"): 1, ("m", "min", "mins", "minute", "minutes"): 60, ("h", "hr", "hrs", "hour", "hours"): 3600, ("d", "day", "days"): 86400, ("w", "week", "weeks"): 604800, ("mo", "month", "months"): 2629746, ("y", "year", "years"): 86400}
-_FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_PART = r"(\d+(?:\.\d+)?)([^\d]+)"
+SECONDS = {name: n for names, n in UNITS.items() for name in names}
+FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+PART = r"(\d+(?:\.\d+)?)([^\d]+)"
 
 
 def to_seconds(value: Column) -> Column:
@@ -19,9 +20,9 @@ def to_seconds(value: Column) -> Column:
     """
     s = F.trim(value.cast("string"))
     # a part must follow on the one before: what isn't matched from the start on ends the sum
-    lead = F.regexp_extract(s, rf"^(?:{_PART})+", 0)
-    numbers = F.regexp_extract_all(lead, F.lit(_PART), F.lit(1))
-    units = F.regexp_extract_all(lead, F.lit(_PART), F.lit(2))
+    lead = F.regexp_extract(s, rf"^(?:{PART})+", 0)
+    numbers = F.regexp_extract_all(lead, F.lit(PART), F.lit(1))
+    units = F.regexp_extract_all(lead, F.lit(PART), F.lit(2))
 
     def part(n: Column, u: Column) -> Column:
         low, scale = F.lower(u), F.lit(0.0)
@@ -30,14 +31,14 @@ def to_seconds(value: Column) -> Column:
         return n.cast("double") * scale
 
     total = F.aggregate(F.zip_with(numbers, units, part), F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.when(s.rlike(_FLOAT), s.try_cast("double")).otherwise(total), F.lit(0.0))
+    return F.coalesce(F.when(s.rlike(FLOAT), s.try_cast("double")).otherwise(total), F.lit(0.0))
 
 
 def from_metric(value: Column) -> Column:
-    """Whole number with K, M or G as powers of 1024; null if it isn't one."""
+    """Whole number with K, M or G as powers of 1024; null if it isn't one, or beyond 64 bits."""
     s = F.trim(value.cast("string"))
     scale = F.when(s.endswith("K"), 1024).when(s.endswith("M"), 1024**2).when(s.endswith("G"), 1024**3).otherwise(1).cast("bigint")
-    return F.when(s.rlike(r"^[+-]?\d{1,9}[KMG]?$"), F.regexp_replace(s, "[KMG]$", "").try_cast("bigint") * scale)
+    return F.when(s.rlike(r"^[+-]?\d+[KMG]?$"), F.try_multiply(F.regexp_replace(s, "[KMG]$", "").try_cast("bigint"), scale))
 
 
 def _epoch(s: Column) -> Column:
@@ -74,13 +75,13 @@ def to_int(value: Column) -> Column:
 def to_float(value: Column) -> Column:
     """Number; null is 0, and so is what isn't one."""
     s = F.trim(value.cast("string"))
-    return F.coalesce(F.when(s.rlike(_FLOAT), s.try_cast("double")), F.lit(0.0))
+    return F.coalesce(F.when(s.rlike(FLOAT), s.try_cast("double")), F.lit(0.0))
 
 
 def is_float(value: Column) -> Column:
     """Whether it reads as a number: digits, or inf and nan in any case."""
     s = F.lower(F.trim(value.cast("string")))
-    return F.coalesce(s.rlike(_FLOAT) | s.rlike(r"^[+-]?(inf|infinity|nan)$"), F.lit(False))
+    return F.coalesce(s.rlike(FLOAT) | s.rlike(r"^[+-]?(inf|infinity|nan)$"), F.lit(False))
 
 
 def is_int(value: Column) -> Column:

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.functions import text as X
 from quillstone.models import providers
@@ -39,8 +40,10 @@ class Rag:
         return self.store.load(docs)
 
     def find(self, queries: DataFrame, n: int = 20, cut: int = 5) -> DataFrame:
-        """The best chunks of each query, every text once."""
-        return retrieve.without_repeats(self.store.search(queries, n)).where(F.col("rank") <= cut)
+        """The best chunks of each query, every text once, ranked anew from 1 on."""
+        w = Window.partitionBy("query_id").orderBy("rank")
+        found = retrieve.without_repeats(self.store.search(queries, n)).withColumn("_rank", F.row_number().over(w).cast("bigint"))
+        return found.where(F.col("_rank") <= cut).withColumn("rank", F.col("_rank")).drop("_rank")
 
     def query(self, queries: DataFrame, *, max_tokens: int | None = None) -> DataFrame:
         """query_id, context, answer, error."""
@@ -93,13 +96,25 @@ class Warehouse:
     def schema(self) -> str:
         return "\n".join(f"{n}({', '.join(f'{c} {k}' for c, k in df.dtypes)})" for n, df in sorted(self.tables.items()))
 
+    def written(self, question: str, error: str | None = None) -> dict[str, Any]:
+        """What the provider replies: sql, error or a question of its own."""
+        prompt = WRITE_SQL.replace("{schema}", self.schema()).replace("{question}", question)
+        reply = self.provider.query(prompt if error is None else f"{prompt}\nThe last attempt failed: {error}", 2048)
+        return json.loads(reply[reply.index("{") : reply.rindex("}") + 1])
+
+    def rows(self, question: str) -> DataFrame:
+        """The whole result of the statement written for a question; ValueError if there is none or it is refused."""
+        found = self.written(question)
+        if found.get("error") or not found.get("sql"):
+            raise ValueError(found.get("error") or found.get("question") or "no statement")
+        return sql.query(self.spark, found["sql"], tables=self.tables)
+
     def query(self, question: str, tries: int = 5) -> dict[str, Any]:
         """question, sql, table (markdown of its first rows), answer or error; a statement that fails is asked for again."""
-        prompt, error = WRITE_SQL.replace("{schema}", self.schema()).replace("{question}", question), "no answer"
+        error = None
         for _ in range(tries):
-            reply = self.provider.query(prompt if error == "no answer" else f"{prompt}\nThe last attempt failed: {error}", 2048)
             try:
-                found = json.loads(reply[reply.index("{") : reply.rindex("}") + 1])
+                found = self.written(question, error)
                 if found.get("error") or not found.get("sql"):
                     return {"question": question, "sql": None, "table": None, "answer": None, "error": found.get("error") or found.get("question") or "no statement"}
                 table = sql.markdown(sql.query(self.spark, found["sql"], tables=self.tables))
@@ -107,4 +122,4 @@ class Warehouse:
                 error = f"{type(e).__name__}: {str(e)[:500]}"
                 continue
             return {"question": question, "sql": found["sql"], "table": table, "answer": self.provider.query(f"Explain this result for the question {question!r}:\n\n{table}", 2048), "error": None}
-        return {"question": question, "sql": None, "table": None, "answer": None, "error": error}
+        return {"question": question, "sql": None, "table": None, "answer": None, "error": error or "no answer"}

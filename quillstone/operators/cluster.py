@@ -6,7 +6,6 @@ a cap. In the tree, clusters that are still large are split again in the same wa
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.operators.shared import cut
+
 #: Rows that one task clusters at once; larger tables are parted by bisecting k-means first.
 LOCAL = 2048
 #: Added to the diagonals of covariances, as a share of the mean variance.
@@ -176,7 +177,7 @@ def split(x: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
 
 def _parted(points: DataFrame, seed: int) -> DataFrame:
     """id, features, part: parts of LOCAL rows at most."""
-    points = _cut(points.withColumn("part", F.lit("0")))
+    points = cut(points.withColumn("part", F.lit("0")))
     while large := [r.part for r in points.groupBy("part").count().where(F.col("count") > LOCAL).collect()]:
         out = points.where(~F.col("part").isin(large))
         for part in large:
@@ -186,7 +187,7 @@ def _parted(points: DataFrame, seed: int) -> DataFrame:
             if found.select("prediction").distinct().count() < 2:
                 found = found.withColumn("prediction", F.pmod(F.xxhash64("id"), F.lit(2 * -(-n // LOCAL))))
             out = out.union(found.select("id", "features", F.concat("part", F.lit("."), F.col("prediction").cast("string"))))
-        points = _cut(out)
+        points = cut(out)
     return points
 
 
@@ -219,26 +220,16 @@ def tree(rows: DataFrame, *, levels: int = 2, per_cluster: int = 10, id_col: str
             parts.append(nodes.select("node", F.lit(None).cast("string").alias("parent"), F.lit(level).alias("level")))
             break
         best = clusters(nodes, most=2 * per_cluster, id_col="node", vector="v", seed=seed)
-        named = _cut(nodes.join(best, F.col("node") == F.col("id")).select("node", "v", F.concat(F.lit(f"L{level + 1}-"), "cluster").alias("parent")))
+        named = cut(nodes.join(best, F.col("node") == F.col("id")).select("node", "v", F.concat(F.lit(f"L{level + 1}-"), "cluster").alias("parent")))
         parts.append(named.select("node", "parent", F.lit(level).alias("level")))
         means = named.groupBy("parent").agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(width[0])])
-        nodes = _cut(means.select(F.col("parent").alias("node"), F.array(*[F.col(f"m{i}") for i in range(width[0])]).alias("v")))
+        nodes = cut(means.select(F.col("parent").alias("node"), F.array(*[F.col(f"m{i}") for i in range(width[0])]).alias("v")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
     return out
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """The table, written to the checkpoint folder; without spark.checkpoint.dir, to a temporary one of a local master."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
-    return df.checkpoint()
-
-
 def ancestors(adjacency: DataFrame, root: str) -> DataFrame:
     """node, depth of all that hang below a root of (node, parent), by a recursive query."""
     adjacency.createOrReplaceTempView("_quillstone_adjacency")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quillstone.functions import text as X
 
 HEAD_BYTES = 65536
-#: Rows up to which the sizes that files share are broadcast to their listing.
+#: Rows of three numbers and an extension up to which the sizes that files share are broadcast to their listing: 64 MB at most.
 BROADCAST_SIZES = 1_000_000
 
 
@@ -18,12 +18,12 @@ def eligible(docs: DataFrame, least: int = 20) -> DataFrame:
     return docs.withColumn("norm", X.normalize(F.col("text"))).withColumn("words", X.word_count(F.col("norm"))).where(F.col("words") >= least)
 
 
-def first_seen(docs: DataFrame, least: int = 20) -> DataFrame:
-    """Of the eligible documents, the least doc_id of each normalised text and how many share it.
+def first_seen(docs: DataFrame, least: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of the eligible documents, the least doc_id of each normalised text, how many share it, and what else to carry of that row.
 
     The text is shuffled as its digest only.
     """
-    return eligible(docs, least).groupBy(F.sha2("norm", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    return eligible(docs, least).groupBy(F.sha2("norm", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.min_by(c, "doc_id").alias(c) for c in carry]).select("doc_id", "copies", *carry)
 
 
 def _shared_sizes(rows: DataFrame) -> DataFrame:

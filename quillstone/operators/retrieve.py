@@ -15,21 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import text as X
+from quillstone.operators.shared import cut
 
-#: Bytes of query vectors up to which they are broadcast to the corpus; beyond that the search is a blocked join.
+#: Bytes of query vectors up to which they are broadcast to the corpus at once; beyond that they are broadcast block by block.
 BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: Scores that a task holds at once.
 BLOCK = 1 << 21
 
 
-def search(corpus: DataFrame, queries: DataFrame, n: int, *, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", digits: int = 6) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, n: int, *, metric: str = "cosine", id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", digits: int = 6, at_once: bool = False) -> DataFrame:
     """query_id, id, score, rank of the n best rows of each query; ties go to the lesser id.
 
     metric: cosine (the greatest first) or l2 (squared, the least first). Rows without a vector, of other length than the
-    query, or of zero norm under cosine, aren't found.
+    query, or of zero norm under cosine, aren't found. Each row of queries has a ranking of its own number; at_once
+    broadcasts all query vectors whatever their size.
     """
     wanted = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).alias("v")).where("q is not null and v is not null")
-    size = wanted.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8
+    size = wanted.agg(F.coalesce(F.sum(F.size("v") + 2), F.lit(0))).first()[0] * 8
     rows = corpus.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
     sign = -1.0 if metric == "cosine" else 1.0
 
@@ -68,8 +71,18 @@ def search(corpus: DataFrame, queries: DataFrame, n: int, *, metric: str = "cosi
         for width, (k, v, i) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(shared.value[width][0][k]), pa.array(i.astype(np.int64)), pa.array(sign * v)], ["q", "id", "score"])
 
-    if size > BROADCAST_BYTES:
-        return _ranked(_blocked(rows, wanted, metric, digits), n, sign)
+    if size > BROADCAST_BYTES and not at_once:
+        # as many passes over the corpus as there are blocks; each keeps its ranking alone, so that its broadcast can go
+        blocks = -(-size // BLOCK_BYTES)
+        wanted = cut(wanted.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
+        parts = []
+        for k in range(blocks):
+            part = wanted.where(F.col("_block") == k).select(F.col("q").alias(query_id), F.col("v").alias(vector))
+            parts.append(cut(search(corpus, part, n, metric=metric, id_col=id_col, vector=vector, query_id=query_id, digits=digits, at_once=True)))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
     flat = wanted.toArrow()
     table = _by_width(flat.column(0).combine_chunks(), flat.column(1).combine_chunks())
     shared = corpus.sparkSession.sparkContext.broadcast({w: (i.astype(np.int64), m) for w, (i, m) in table.items()})
@@ -86,15 +99,6 @@ def _by_width(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, n
     return out
 
 
-def _blocked(rows: DataFrame, wanted: DataFrame, metric: str, digits: int) -> DataFrame:
-    """All pairs by built-in expressions: for query sets too large to broadcast."""
-    from quillstone.functions import nested as N
-
-    pair = rows.join(wanted.select("q", F.col("v").alias("w")), F.size("v") == F.size("w"))
-    score = N.cosine(F.col("w"), F.col("v")) if metric == "cosine" else N.squared_l2(F.col("w"), F.col("v"))
-    return pair.select("q", "id", F.round(score, digits).alias("score")).where("score is not null")
-
-
 def _ranked(pairs: DataFrame, n: int, sign: float) -> DataFrame:
     w = Window.partitionBy("q").orderBy(F.col("score") * sign, "id")
     return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n).select(F.col("q").alias("query_id"), "id", "score", "rank")
@@ -106,6 +110,23 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, t)) / F.size(q)
 
 
+def word_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, words): the distinct normalised words of each text as 64-bit hashes."""
+    words = F.filter(F.split(X.normalize(F.col(text)), " "), lambda w: w != "")
+    return docs.select(F.col(id_col).alias("id"), F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))).alias("words"))
+
+
+def rerank_by_words(found: DataFrame, docs: DataFrame, n: int = 12, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The n best hits of each query by the share of the query's words that a hit has; queries and hits are rows of docs.
+
+    Texts that aren't hit are not read on: only the sets of those found, made once, are joined with the pairs.
+    """
+    both = found.select(F.col("query_id").alias("id")).union(found.select("id")).distinct()
+    sets = cut(word_sets(docs.join(both, docs[id_col] == both["id"], "left_semi"), id_col, text))
+    pairs = found.join(sets.select(F.col("id").alias("query_id"), F.col("words").alias("_q")), "query_id").join(sets.select("id", F.col("words").alias("_d")), "id").where(F.size("_q") > 0)
+    return rerank(pairs, F.round(F.size(F.array_intersect("_q", "_d")) / F.size("_q"), 6), n).drop("_q", "_d")
+
+
 def rerank(found: DataFrame, score: Column, n: int = 12) -> DataFrame:
     """The n best of each query by another score; ties keep their order."""
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "rank")

@@ -145,7 +145,10 @@ def upsert(target: DataFrame, data: DataFrame, table: dict[str, Any]) -> DataFra
 
 
 def insert(target: DataFrame, data: DataFrame, table: dict[str, Any]) -> DataFrame:
-    """The rows to append: generated columns left out, refused if a unique value is there already or comes twice."""
+    """The rows to append: generated columns left out, refused if a unique value is there already or comes twice.
+
+    Each unique column is a constraint of its own here, as in a database; upsert() takes all of them together, as its key.
+    """
     columns = {c["name"]: c for c in table["columns"]}
     rows = data.select(*[c for c in data.columns if not columns.get(c, {}).get("autoincrement")])
     for name, c in columns.items():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillstone.models import providers, rag
 from quillstone.plans import catalog, sql
 from quillstone.plans.registry import Tables, query
 from quillstone.streaming.machine import Machine, fold
@@ -19,13 +22,13 @@ CUSTOMER = {"columns": [
 
 def _given(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    return t.customer.where(k % 3 != 0).select(
-        (k + 1_000_000).alias("c_custkey"), F.when(k % 3 == 2, F.concat("c_name", F.lit("-new"))).otherwise(F.col("c_name")).alias("c_name"), F.lit(99).cast("bigint").alias("c_nationkey"), (F.col("c_acctbal") + 1).alias("c_acctbal")
+    return t.customer.select(
+        (k + 1_000_000).alias("c_custkey"), F.when(k % 3 != 1, F.concat("c_name", F.lit("-new"))).otherwise(F.col("c_name")).alias("c_name"), F.lit(99).cast("bigint").alias("c_nationkey"), (F.col("c_acctbal") + 1).alias("c_acctbal")
     )
 
 
 @query(
-    """WITH g AS (SELECT c_custkey + 1000000 AS c_custkey, c_name || CASE c_custkey % 3 WHEN 2 THEN '-new' ELSE '' END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0)
+    """WITH g AS (SELECT c_custkey + 1000000 AS c_custkey, c_name || CASE c_custkey % 3 WHEN 1 THEN '' ELSE '-new' END AS c_name, c_acctbal + 1 AS c_acctbal FROM customer)
 SELECT CASE WHEN o.c_name IS NULL THEN g.c_custkey WHEN g.c_name IS NULL THEN o.c_custkey ELSE g.c_custkey END AS c_custkey, coalesce(o.c_name, g.c_name) AS c_name,
     CASE WHEN o.c_name IS NULL THEN 99 ELSE o.c_nationkey END::int AS c_nationkey, coalesce(g.c_acctbal, o.c_acctbal) AS c_acctbal,
     CASE WHEN g.c_name IS NULL THEN o.c_mktsegment ELSE 'RESET' END AS c_mktsegment FROM customer o FULL JOIN g ON o.c_name = g.c_name"""
@@ -48,6 +51,14 @@ def sql_passthrough(t: Tables) -> DataFrame:
     return sql.query(t.spark, _PASS.format(low=":low"), {"low": 100}, tables={"customer": t.customer, "nation": t.nation})
 
 
+@query("SELECT c_mktsegment AS segment, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1")
+def warehouse(t: Tables) -> DataFrame:
+    """A question answered by SQL that a (here: fixed) reply holds, run behind the guard."""
+    reply = {"sql": "SELECT c_mktsegment AS segment, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_mktsegment"}
+    house = rag.Warehouse(t.spark, providers.from_config({"class": "template", "template": json.dumps(reply)}), {"customer": t.customer})
+    return house.rows("customers and balance of each segment")
+
+
 @query("SELECT * FROM (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey) ORDER BY orders DESC, o_custkey LIMIT 9")
 def preview(t: Tables) -> DataFrame:
     return sql.preview(t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders")).orderBy(F.desc("orders"), "o_custkey"))
@@ -98,6 +109,20 @@ def elapsed(t: Tables) -> DataFrame:
     return fold(t.events.withColumn("change", F.lit(None).cast("string")), IDLE, key="user_id", at="ts", order="event_id", change="change")
 
 
+RESTING = Machine({"states": {"start": {"transitions": {"a": {"when": {"elapsed": "1mo"}, "state": "rested"}}}, "rested": {"transitions": {"b": {"when": {"elapsed": "1y"}, "state": "start"}}}}})
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT o_custkey, o_orderkey, o_orderdate AS ts, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
+r(o_custkey, o_orderkey, n, since, state, entered) AS (SELECT o_custkey, o_orderkey, n, ts, 'start', false FROM e WHERE n = 1 UNION ALL
+    SELECT o_custkey, o_orderkey, n, CASE WHEN due THEN ts ELSE since END, CASE WHEN due THEN CASE state WHEN 'start' THEN 'rested' ELSE 'start' END ELSE state END, due FROM (
+        SELECT e.*, r.since, r.state, epoch(e.ts) - epoch(r.since) >= CASE r.state WHEN 'start' THEN 2629746 ELSE 86400 END AS due FROM r JOIN e ON e.o_custkey = r.o_custkey AND e.n = r.n + 1))
+SELECT o_custkey AS key, o_orderkey AS "order", state, entered FROM r"""
+)
+def elapsed_long(t: Tables) -> DataFrame:
+    return fold(t.orders.withColumn("change", F.lit(None).cast("string")), RESTING, key="o_custkey", at="o_orderdate", order="o_orderkey", change="change")
+
+
 @query(
     """WITH s AS (SELECT user_id, ts, value > 50 AS now, lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was, event_id FROM events),
 c AS (SELECT user_id, now, ts, event_id, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM s WHERE was IS NULL OR was <> now)

@@ -42,15 +42,19 @@ def audio_limit(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", O.audio_fits(F.col("p_size") * 1048576).alias("taken"))
 
 
-@query("SELECT conv_id AS book, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn DESC) AS text FROM conversations WHERE turn % 3 <> 2 AND trim(text) <> '' GROUP BY conv_id")
+@query(
+    """WITH spine AS (SELECT conv_id AS book, -turn AS position, 'item-' || turn AS idref FROM conversations), manifest AS (SELECT conv_id AS book, CASE WHEN turn % 3 = 2 THEN 'other-' ELSE 'item-' END || turn AS id, trim(text) AS text FROM conversations)
+SELECT s.book, string_agg(text, chr(10) || chr(10) ORDER BY position) AS text FROM spine s JOIN manifest m ON s.book = m.book AND s.idref = m.id WHERE text <> '' GROUP BY s.book"""
+)
 def spine_order(t: Tables) -> DataFrame:
     n = F.col("turn").cast("string")
     spine = t.conversations.select(F.col("conv_id").alias("book"), (-F.col("turn")).alias("position"), F.concat(F.lit("item-"), n).alias("idref"))
-    manifest = t.conversations.where("turn % 3 <> 2").select(F.col("conv_id").alias("book"), F.concat(F.lit("item-"), n).alias("id"), F.trim("text").alias("text"))
+    named = F.concat(F.when(F.col("turn") % 3 == 2, "other-").otherwise("item-"), n)  # some items that the spine names aren't in the manifest
+    manifest = t.conversations.select(F.col("conv_id").alias("book"), named.alias("id"), F.trim("text").alias("text"))
     return corpus.spine_text(spine, manifest)
 
 
-@query("SELECT conv_id, turn, 'Role ' || role || ' said {' || left(text, 20) || '}; ' || role || '.' AS prompt FROM conversations")
+@query("SELECT conv_id, turn, 'Role ' || role || ' said {' || text || '}; ' || role || '.' AS prompt FROM conversations")
 def prompts(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", rag.fill("Role {role} said {{text}}; {role}.", role=F.col("role"), text=F.col("text")).alias("prompt"))
 
@@ -81,10 +85,12 @@ def fenced_reply(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", X.fenced(reply, "sql").alias("sql"))
 
 
-_PAIR = r"""SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS a, regexp_split_to_array(lower(role || ' ' || left(text, 60)), '\s+') AS b FROM conversations"""
+_SET = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
+_PAIR = f"""SELECT conv_id, turn, {_SET.format("text")} AS a, {_SET.format("before")} AS b, before FROM (
+    SELECT conv_id, turn, text, lag(role || ' ' || text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)"""
 
 
-@query(f"SELECT conv_id, turn, round(len(list_intersect(a, b)) / len(a)::double, 6) AS score FROM ({_PAIR}) WHERE len(a) > 0")
+@query(f"SELECT conv_id, turn, CASE WHEN before IS NOT NULL THEN round(len(list_intersect(a, b)) / len(a)::double, 6) END AS score FROM ({_PAIR}) WHERE len(a) > 0")
 def pair_scores(t: Tables) -> DataFrame:
     """Each whole text against role and whole text of the turn before; null where there is none."""
     before = F.lag(F.concat("role", F.lit(" "), "text")).over(Window.partitionBy("conv_id").orderBy("turn"))
@@ -102,6 +108,6 @@ def clean_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", gibberish.clean_text(F.col("text")).alias("text"))
 
 
-@query()
+@query("SELECT item_id AS id, text AS answer, NULL::varchar AS error FROM benchmark")
 def stub_answers(t: Tables) -> DataFrame:
     return providers.ask(t.benchmark, {"class": "echo"}, F.col("text"), id_col="item_id")

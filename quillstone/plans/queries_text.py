@@ -33,8 +33,7 @@ def dedup_normalized(t: Tables) -> DataFrame:
 
 @query(f"WITH k AS (SELECT min(doc_id) AS doc_id, count(*) AS copies FROM ({ELIGIBLE}) GROUP BY norm) SELECT lang, count(*) AS docs, sum(copies)::bigint AS seen FROM k JOIN documents USING (doc_id) GROUP BY lang")
 def dedup_by_lang(t: Tables) -> DataFrame:
-    kept = dedup.first_seen(t.documents)
-    return kept.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("seen"))
+    return dedup.first_seen(t.documents, carry=("lang",)).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("copies").alias("seen"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '[\s\p{Z}\x{85}]+', ' ', 'g')) AS digest FROM documents")

@@ -38,11 +38,6 @@ def results_for_window(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.floor((X.token_estimate(F.col("text")) + 1) / 200).cast("bigint").alias("n_results"))
 
 
-def _texts(t: Tables) -> DataFrame:
-    words = F.filter(F.split(X.normalize(F.col("text")), " "), lambda x: x != "")
-    return t.documents.select("doc_id", F.array_distinct(words).alias("words"))
-
-
 _WORDS = f"SELECT doc_id, list_distinct(list_filter(string_split({NORM}, ' '), lambda x: x <> '')) AS words FROM documents"
 _RERANK = """WITH found AS ({found}), w AS ({words}), s AS (SELECT f.query_id, f.id, f.rank, round(len(list_intersect(q.words, d.words)) / len(q.words)::double, 6) AS rerank_score
     FROM found f JOIN w q ON q.doc_id = f.query_id JOIN w d ON d.doc_id = f.id WHERE len(q.words) > 0),
@@ -50,11 +45,7 @@ r AS (SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_i
 
 
 def _reranked(t: Tables, found: int, n: int) -> DataFrame:
-    words = _texts(t)
-    rows = _search(t, found).join(words.select(F.col("doc_id").alias("query_id"), F.col("words").alias("q")), "query_id").join(words.select(F.col("doc_id").alias("id"), F.col("words").alias("d")), "id")
-    rows = rows.where(F.size("q") > 0)
-    score = F.round(F.size(F.array_intersect("q", "d")) / F.size("q"), 6)
-    return retrieve.rerank(rows, score, n).select("query_id", "id", "rerank_score", "new_rank")
+    return retrieve.rerank_by_words(_search(t, found), t.documents, n).select("query_id", "id", "rerank_score", "new_rank")
 
 
 @query(_RERANK.format(found=_sql(40), words=_WORDS, n=12))
@@ -68,7 +59,7 @@ def two_stage(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH found AS ({_sql(12)}), d AS (SELECT f.query_id, f.id, f.rank, lang || ':' || left(text, 1) AS text FROM found f JOIN documents ON doc_id = f.id),
+    f"""WITH found AS ({_sql(12)}), d AS (SELECT f.query_id, f.id, f.rank, text FROM found f JOIN documents ON doc_id = f.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS n FROM d) SELECT query_id, id, rank FROM r WHERE n = 1"""
 )
 def result_dedup(t: Tables) -> DataFrame:

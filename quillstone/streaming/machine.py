@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,20 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import scalars as S
+
 _WORDS = {True: "on", False: "off", None: "null"}
-_UNITS = {"s": 1, "sec": 1, "secs": 1, "second": 1, "seconds": 1, "m": 60, "min": 60, "mins": 60, "minute": 60, "minutes": 60, "h": 3600, "hr": 3600, "hrs": 3600, "hour": 3600, "hours": 3600, "d": 86400, "day": 86400, "days": 86400, "w": 604800, "week": 604800, "weeks": 604800}
 
 
 def seconds(value: Any) -> float:
-    """Of a number, or of a text such as 1h30m."""
-    import re
-
+    """Of a number, or of a text such as 1h30m, by the rules of functions.scalars.to_seconds."""
+    if value is None:
+        return 0.0
     if isinstance(value, int | float):
         return float(value)
-    try:
-        return float(value)
-    except ValueError:
-        return sum(float(n) * _UNITS.get(u.lower(), 0) for n, u in re.findall(r"(\d+(?:\.\d+)?)([^\d]+)", value.strip()))
+    text = str(value).strip()
+    if re.match(S.FLOAT, text):
+        return float(text)
+    lead = re.match(rf"(?:{S.PART})+", text)
+    return sum((float(n) * S.SECONDS.get(u.lower(), 0) for n, u in re.findall(S.PART, lead[0])), 0.0) if lead else 0.0
 
 
 def _texts(value: Any) -> Any:
@@ -75,6 +79,16 @@ class Machine:
         return _state_name(fallback["state"]) if fallback is not None else None
 
 
+    def wait(self, state: str, env: dict[str, Any], elapsed: float) -> float | None:
+        """Seconds until a transition is due by the passing of time alone; None if none ever is."""
+        due = []
+        for transition in (self.states[state].get("transitions") or {}).values():
+            when = transition.get("when") or {}
+            if "elapsed" in when and (left := seconds(when["elapsed"]) - elapsed) > 0 and self.holds(when, env, math.inf):
+                due.append(left)
+        return min(due, default=None)
+
+
 class Runner:
     """One running machine: environment, current state, and a callback that may change or veto a transition."""
 
@@ -97,10 +111,10 @@ class Runner:
         self.enter(to)
         return True
 
-    def run(self, most: int = 1_000) -> int:
-        """Ticks until nothing happens; how many transitions were taken."""
+    def run(self) -> int:
+        """Ticks until nothing happens; how many transitions were taken. A machine that never rests never returns."""
         n = 0
-        while n < most and self.tick():
+        while self.tick():
             n += 1
         return n
 
@@ -140,26 +154,34 @@ def fold(events: DataFrame, machine: Machine, *, key: str, at: str, order: str,
     return rows.groupBy("_key").applyInPandas(run, "key bigint, order bigint, state string, entered boolean")
 
 
-def stream(events: DataFrame, machine: Machine, *, key: str, at: str, order: str, change: str, idle: str = "1 day") -> DataFrame:
-    """The same over a stream: state lives with each key, and goes when a key has been idle for that long."""
+def stream(events: DataFrame, machine: Machine, *, key: str, at: str, order: str, change: str) -> DataFrame:
+    """The same over a stream, in the order of arrival: state lives with each key and is never forgotten.
+
+    A transition that is due by time alone is taken without an event, once a processing-time timer of what was left of its time
+    has run; its row has a null order, and it counts as entered at the time it was due.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    limit = int(pd.Timedelta(idle).total_seconds() * 1000)
+    columns = ["key", "order", "state", "entered"]
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        state, env, entered = held.get if held.exists else (machine.start, "{}", float("nan"))
+        state, env, entered, last, due = held.get if held.exists else (machine.start, "{}", float("nan"), float("nan"), None)
         env, rows = json.loads(env), []
-        pdf = pd.concat(list(batches)).sort_values(["_at", "_order"], kind="stable")
-        for when, number, what in zip(pdf["_at"], pdf["_order"], pdf["_change"]):
-            entered = when if entered != entered else entered
-            state, env, entered, moved = _step(machine, state, env, entered, when, what)
-            rows.append((group[0], number, state, moved))
-        held.update((state, json.dumps(env), entered))
-        held.setTimeoutDuration(limit)
-        yield pd.DataFrame(rows, columns=["key", "order", "state", "entered"])
+        if held.hasTimedOut:
+            state, env, entered, moved = _step(machine, state, env, entered, due, None)
+            last = due
+            rows += [(group[0], None, state, True)] if moved else []
+        else:
+            pdf = pd.concat(list(batches)).sort_values(["_at", "_order"], kind="stable")
+            for when, number, what in zip(pdf["_at"], pdf["_order"], pdf["_change"]):
+                entered, last = when if entered != entered else entered, when
+                state, env, entered, moved = _step(machine, state, env, entered, when, what)
+                rows.append((group[0], number, state, moved))
+        left = machine.wait(state, env, last - entered)
+        held.update((state, json.dumps(env), entered, last, None if left is None else last + left))
+        if left is not None:
+            held.setTimeoutDuration(max(1, math.ceil(left * 1000)))
+        yield pd.DataFrame(rows, columns=columns).astype({"order": "Int64"})
 
     rows = events.select(F.col(key).cast("bigint").alias("_key"), F.col(order).cast("bigint").alias("_order"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_at"), F.col(change).alias("_change"))
-    return rows.groupBy("_key").applyInPandasWithState(run, "key bigint, order bigint, state string, entered boolean", "state string, env string, entered double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.where("_key is not null").groupBy("_key").applyInPandasWithState(run, "key bigint, order bigint, state string, entered boolean", "state string, env string, entered double, last double, due double", "append", GroupStateTimeout.ProcessingTimeTimeout)

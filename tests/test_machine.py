@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.plans.queries_catalog import SWITCH
-from quillstone.streaming.machine import Machine, Runner, fold, stream
+from quillstone.streaming.machine import Machine, Runner, fold, seconds, stream
 
 
 def test_switch_walks_and_restores():
@@ -60,7 +60,45 @@ def test_stream_equals_fold(spark, tmp_path):
         df.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
     events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     out = stream(events, SWITCH, key="k", at="at", order="n", change="c")
-    q = out.writeStream.format("memory").queryName("machine_out").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM machine_out WHERE key IS NOT NULL").collect())
+    q = out.writeStream.format("memory").queryName("machine_out").option("checkpointLocation", str(tmp_path / "at")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            q.awaitTermination(1)
+            if len(got := sorted(tuple(r) for r in spark.sql("SELECT * FROM machine_out").collect())) == len(WANTED):
+                break
+    finally:
+        q.stop()
     assert [r[:2] for r in got] == [r[:2] for r in WANTED] and [r[2] for r in got if r[0] == 1] == ["on", "on", "off"]
+
+
+CASES = [("1mo", 2629746), ("1y", 86400), ("1.5mo", 3944619), ("2d3h4m5s", 183845), ("1h30m", 5400), ("90", 90), (90, 90), ("x1h", 0), ("1h x 5m", 300), ("1h,5m", 300), ("", 0), (None, 0), ("3 hours", 10800), ("1e2", 100), ("5 lightyears", 0)]
+
+
+def test_durations_are_those_of_the_column_function(spark):
+    from quillstone.functions import scalars as S
+
+    got = [r.s for r in spark.createDataFrame([(k, None if v is None else str(v)) for k, (v, _) in enumerate(CASES)], "k int, v string").orderBy("k").select(S.to_seconds(F.col("v")).alias("s")).collect()]
+    assert got == [seconds(v) for v, _ in CASES] and seconds("1mo") == 2629746 and seconds("1y") == 86400 and seconds("2d3h4m5s") == 183845
+
+
+def test_a_runner_has_no_cap():
+    m = Machine({"states": {f"s{k}": {"transitions": {"t": {"state": f"s{k + 1}"}}} for k in range(3000)} | {"s3000": {}}}, start="s0")
+    assert Runner(m).run() == 3000
+
+
+def test_stream_timer_takes_a_transition_without_an_event(spark, tmp_path):
+    m = Machine({"states": {"start": {"transitions": {"go": {"when": {"go": True}, "state": "wait"}}}, "wait": {"transitions": {"t": {"when": {"elapsed": "2s"}, "state": "late"}}}, "late": {}}})
+    df = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1), 1, '{"go": true}')], "k long, at timestamp, n long, c string")
+    (tmp_path / "in").mkdir()
+    df.write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = stream(events, m, key="k", at="at", order="n", change="c").writeStream.format("memory").queryName("timer_out").option("checkpointLocation", str(tmp_path / "at")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            q.awaitTermination(1)
+            got = [tuple(r) for r in spark.table("timer_out").collect()]
+            if len(got) == 2:
+                break
+    finally:
+        q.stop()
+    assert got == [(1, 1, "wait", True), (1, None, "late", True)]

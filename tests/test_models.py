@@ -65,13 +65,14 @@ def test_search_equals_brute_force(spark):
             s = np.round(f @ f[k] / np.linalg.norm(f, axis=1) / np.linalg.norm(f[k]), 6) if metric == "cosine" else np.round(((f - f[k]) ** 2).sum(1), 6)
             rest = [(-x if metric == "cosine" else x, i) for i, x in enumerate(s)] + ([(round(float((f[k] ** 2).sum()), 6), 61)] if metric == "l2" else [])
             assert [got[(k, r)] for r in range(1, 6)] == [i for _, i in sorted(rest)[:5]]
-    wide = retrieve.BROADCAST_BYTES
+    wide, block = retrieve.BROADCAST_BYTES, retrieve.BLOCK_BYTES
     try:
         a = {tuple(r) for r in retrieve.search(df, q, 5).collect()}
-        retrieve.BROADCAST_BYTES = 0
-        assert {tuple(r) for r in retrieve.search(df, q, 5).collect()} == a
+        retrieve.BROADCAST_BYTES, retrieve.BLOCK_BYTES = 0, 300
+        blocked = retrieve.search(df, q, 5)
+        assert {tuple(r) for r in blocked.collect()} == a and "Join" not in blocked._jdf.queryExecution().executedPlan().toString()
     finally:
-        retrieve.BROADCAST_BYTES = wide
+        retrieve.BROADCAST_BYTES, retrieve.BLOCK_BYTES = wide, block
 
 
 def test_store_loads_what_is_new_or_changed(spark, tmp_path):
@@ -96,6 +97,8 @@ def test_rag_answers_from_context(spark, tmp_path):
     row = r.query(queries(spark, "do whales sing")).first()
     assert "whales sing" in row.answer and "Question: do whales sing" in row.answer and row.error is None
     assert r.find(queries(spark, "whales")).count() == 1
+    assert r.sync(docs(spark, *[(f"c{k}.txt", f"whales {'sing' if k < 3 else k}", 0) for k in range(6)])) == (6, 6)
+    assert sorted(x["rank"] for x in r.find(queries(spark, "whales sing"), cut=3).collect()) == [1, 2, 3]
 
 
 def test_requirements(spark):

@@ -20,7 +20,7 @@ def test_durations(spark):
 
 
 def test_sizes_and_numbers(spark):
-    assert of(spark, S.from_metric, "128K", "2M", "1G", "7", "1.5K", "k", None) == [131072, 2097152, 1073741824, 7, None, None, None]
+    assert of(spark, S.from_metric, "128K", "2M", "1G", "7", "1.5K", "k", None, "10737418240", "8000000000K", "-5M", "9223372036854775807", "9223372036854775807K", "9" * 30) == [131072, 2097152, 1073741824, 7, None, None, None, 10737418240, 8192000000000, -5242880, 2**63 - 1, None, None]
     assert of(spark, S.to_int, "5", " 7 ", "x", None, "1.5", "99999999999999999999") == [5, 7, 0, 0, 0, 0]
     assert of(spark, S.to_float, "5", "1e3", "x", None) == [5.0, 1000.0, 0.0, 0.0]
     assert of(spark, S.is_float, "inf", "1d", None, "NaN") == [True, False, False, True]

@@ -1,6 +1,12 @@
 import random
+import re
+import time
 from html.parser import HTMLParser
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from quillstone.llm import html_extract as H
 
 PARA = "Long paragraph text that tells the whole story of this page, with enough characters to matter. " * 3
@@ -75,3 +81,24 @@ def test_hard_cases(spark):
     assert (1, None, 0, 0) in out and (2, "", 0, 0) in out and (3, "", 0, 0) in out and (4, "a < b and c", 1, 1) in out and (6, "", 0, 0) in out and out.count((7, "one\ntwo", 2, 1)) == 2 and (None, "x", 1, 1) in out
     assert next(o for o in out if o[0] == 5)[1] == (PARA * 3000).strip()
     assert H.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<head\b[^>]*>.*?</head\s*>|<![^>]*>|<\?[^>]*>", re.I | re.S)
+_PARTS = ["<head>", "</head>", "<head", "</HEAD >", "<script>", "</script>", "<script src=x", "<Style a>", "</style", "</style >", "<!--", "-->", "<!", "<!DOCTYPE html>", "<?xml", "?>", ">", "<", "a b", "<p>", "</p>", "<svg>", "</svg>", "<header>", "&amp;", "\n"]
+
+
+@given(st.lists(st.sampled_from(_PARTS), max_size=14).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_what_goes_is_what_the_pattern_matches(html):
+    assert H.without_gone(html) == _GONE.sub(" ", html)
+
+
+@pytest.mark.parametrize("part", ["<head>", "<a", "<!", "<script", "<style>", "<!--", "<p ", "</head", "<svg></style>", "<?", "<head></head ", "&#", "<", "<h1"])
+def test_hostile_pages_take_linear_time(part):
+    took = []
+    for size in (250_000, 2_000_000):
+        html = "<p>first</p>" + part * (size // len(part))
+        start = time.perf_counter()
+        H.extract_text(html)
+        took.append(time.perf_counter() - start)
+    assert took[1] < max(3, 24 * took[0])  # eight times the length; the quadratic time was over an hour

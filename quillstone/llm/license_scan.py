@@ -10,11 +10,18 @@ Which regions to align is found without loss: of the words that matter (all but
 coverage COVERAGE must hold all but those that may be missing, within REACH template lengths. Their places come from one hashed
 lookup for every word of every document, so that most texts need no alignment at all.
 
+A region that holds all these words is still aligned only if its longest common subsequence with the template, which bits
+of whole numbers give in one step a word, is long enough. If it falls short by d words, the next region that can match
+ends d words later, so that text that nearly matches is passed in such steps.
+
 Result: a row for each match: doc_id, licence, coverage, the characters from start up to end that the match
 spans, and the words matched. Defined results:
 - Null and empty texts have no rows; a null id is reported as null; repeated rows each have their rows.
 - A template is matched in a text as often as it occurs, from left to right, without overlap; other
   templates are matched independently, so that a notice within a longer licence has a row of its own.
+- Ties: of templates that match the same place each has its row; of equal alignments within a region the one of least
+  places in the template is reported, so that equal texts have equal rows.
+- Texts of any length are scanned whole; a text made up of licence words takes some 10 steps a word and template.
 - Templates without words, or of which so few words matter that none is needed, are refused with a ValueError.
 - Only the id and text columns are read. Empty tables give empty results.
 """
@@ -96,6 +103,17 @@ def align(text: Sequence, template: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common(words: Sequence, masks: dict, size: int) -> int:
+    """The length of a longest common subsequence with a template of so many words; masks: the bits of its places by word."""
+    full = (1 << size) - 1
+    v = full
+    for x in words:
+        if (m := masks.get(x)) is not None:
+            u = v & m
+            v = (v + u | v - u) & full
+    return size - v.bit_count()
+
+
 def leading(text: Sequence, template: Sequence, need: int) -> int:
     """Where the first of several matches in a text of at least one ends: before the others begin, or with the text if it is the only one."""
     covered = lambda a, b: len(longest(text[a:b], template))
@@ -121,7 +139,10 @@ class Scanner:
             least = len(matter) - (len(own) - need)
             if not own or least < 1:
                 raise ValueError(f"the licence template {name!r} has too few words that matter")
-            self.templates.append((name, own, need, least, ceil(reach * len(own))))
+            masks: dict[int, int] = {}
+            for j, h in enumerate(w.hashes.tolist()):
+                masks[h] = masks.get(h, 0) | 1 << j
+            self.templates.append((name, own, need, least, ceil(reach * len(own)), masks))
             for h in set(matter):
                 owner.setdefault(h, []).append(k)
         self.known = np.array(sorted(owner), K.U)
@@ -150,7 +171,7 @@ class Scanner:
                     yield from self._match(w, doc, k, places)
 
     def _match(self, w: K.Words, doc: int, k: int, places: list[int]):
-        name, own, need, least, reach = self.templates[k]
+        name, own, need, least, reach, masks = self.templates[k]
         low, high = int(w.bounds[doc]), int(w.bounds[doc + 1])
         i = 0
         while i + least <= len(places):
@@ -158,6 +179,12 @@ class Scanner:
                 i += 1
                 continue
             a, b = max(low, places[i] - len(own)), min(high, places[i] + reach)
+            short = need - common(w.hashes[a:b].tolist(), masks, len(own))
+            if short > 0:  # each word further on adds one at most
+                if high - b < short:
+                    break
+                i = max(i + 1, bisect_left(places, b + short - reach))
+                continue
             region = [w.low[w.starts[q] : w.ends[q]].tobytes() for q in range(a, b)]
             pairs = align(region, own)
             if len(pairs) < need:  # words that are unique by chance may have led the anchors astray

@@ -1,7 +1,10 @@
 import random
+import time
 
+import pyarrow as pa
 import pytest
-from helpers import LONG, prose, table
+from helpers import LONG, prose, table, words
+from pyspark.sql import functions as F
 
 from quillstone.llm import license_scan as L
 from quillstone.llm.license_texts import TEMPLATES
@@ -51,8 +54,6 @@ def test_planted_licences_are_found_and_prose_is_not(spark):
 
 def test_brute_force_agrees_on_every_text(spark):
     """By longest common subsequence of whole short texts: what is covered is reported, what isn't isn't."""
-    from helpers import words
-
     own = {"one": "alpha beta gamma delta epsilon zeta eta theta", "two": "the kappa of lambda and mu by nu"}
     r = random.Random(3)
     data = []
@@ -87,3 +88,51 @@ def test_copies_that_follow_each_other_directly_are_all_found(spark):
             starts = [i for i in range(len(text)) if text.startswith(notice, i)]
             assert [s for s, _ in sorted(found[k])] == starts, (k, text)
             assert all(e - s >= end - 1 for s, e in found[k])
+
+
+def test_common_is_the_length_of_the_longest():
+    r = random.Random(5)
+    for _ in range(300):
+        a, b = ([r.choice("abcdefg") for _ in range(r.randint(1, 30))] for _ in range(2))
+        masks = {}
+        for j, x in enumerate(b):
+            masks[x] = masks.get(x, 0) | 1 << j
+        assert L.common(a, masks, len(b)) == lcs(a, b)
+
+
+def test_default_templates_against_brute_force(spark):
+    """Texts about as long as their template, worn around the threshold: reported if and only if their common subsequence is long enough."""
+    r = random.Random(6)
+    own = {n: words(t) for n, t in TEMPLATES.items() if len(words(t)) <= 250}
+    vocabulary = sorted({x for w in own.values() for x in w})
+    data = []
+    for k in range(60):
+        w = own[sorted(own)[k % len(own)]]
+        rate = r.uniform(0.1, 0.3)
+        data.append((k, " ".join(r.choice(vocabulary) if r.random() < rate else x for x in w)))
+    got = {(x.doc_id, x.license) for x in L.scan(table(spark, data), templates={n: TEMPLATES[n] for n in own}).collect()}
+    # a region is twice the template's length, so that of the shorter templates only those as long as the text are told by its whole
+    want = {(k, n) for k, t in data for n, o in own.items() if len(words(t)) <= 2 * len(o) and lcs(words(t), o) >= -(-len(o) * 4 // 5)}
+    assert {x for x in got if len(words(data[x[0]][1])) <= 2 * len(own[x[1]])} == want and want
+
+
+def test_licence_words_that_match_nothing_take_linear_time():
+    r = random.Random(7)
+    vocabulary = sorted({x for t in TEMPLATES.values() for x in words(t)})
+    scanner = L.Scanner(TEMPLATES)
+    took = []
+    for n in (5_000, 20_000):
+        (w,) = L.K.words(pa.array([" ".join(r.choices(vocabulary, k=n))]), 1 << 30)
+        start = time.perf_counter()
+        assert not list(scanner.scan(w))
+        took.append(time.perf_counter() - start)
+    assert took[1] < max(2, 8 * took[0])
+
+
+def test_a_long_text_that_nearly_matches(spark):
+    name = max(TEMPLATES, key=lambda n: len(TEMPLATES[n]))
+    notice = TEMPLATES[name]
+    near = [x if k % 4 else "zzz" for k, x in enumerate(words(notice))]
+    text = " ".join(near * 20)
+    found = L.scan(table(spark, [(1, text), (2, text + " " + notice)])).where(F.col("license") == name)
+    assert [r.doc_id for r in found.collect()] == [2]

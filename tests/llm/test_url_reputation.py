@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from helpers import table  # noqa: F401
+from pyspark.sql import functions as F
 
 from quillstone.llm import url_reputation as R
 
@@ -16,14 +16,40 @@ def rows(spark, pages, labels):
 
 def test_hosts(spark):
     p, _ = rows(spark, list(enumerate(URLS)), [(0, 1, 0)])
-    from pyspark.sql import functions as F
-
-    out = {r.page_id: (r.h, r.d, r.s) for r in p.select("page_id", *[c.alias(k[0]) for k, c in R.with_host(F.col("url")).items()]).collect()}
+    out = places(p)
     assert out[0] == ("blog.shop.example.co.uk", "example.co.uk", "co.uk") and out[1] == ("www.example.com", "example.com", "com") and out[2] == ("example.com", "example.com", "com")
     assert out[3] == ("10.0.0.1", "10.0.0.1", "") and out[8] == ("localhost", "localhost", "localhost") and out[9] == ("a.b.example.com", "example.com", "com")
     assert [out[k][0] for k in (4, 5, 6, 7)] == [None] * 4
 
 
+def places(pages, rules=None):
+    rows = pages.select("page_id", R.host_of(F.col("url")).alias("host"))
+    return {r.page_id: (r.host, r.domain, r.suffix) for r in R.placed(rows, rules).collect()}
+
+
+MORE = [
+    ("https://a.foo.co.il/", "a.foo.co.il", "foo.co.il", "co.il"), ("https://alice.github.io/x", "alice.github.io", "alice.github.io", "github.io"), ("http://[2001:db8::1]:80/x", "[2001:db8::1]", "[2001:db8::1]", ""), ("http://u@[::FFFF:1.2.3.4]", "[::ffff:1.2.3.4]", "[::ffff:1.2.3.4]", ""),
+    ("https://www.ck", "www.ck", "www.ck", "ck"), ("https://a.b.c.ck", "a.b.c.ck", "b.c.ck", "c.ck"), ("https://x.ck", "x.ck", "x.ck", "x.ck"), ("https://city.kawasaki.jp", "city.kawasaki.jp", "city.kawasaki.jp", "kawasaki.jp"), ("https://a.b.kawasaki.jp", "a.b.kawasaki.jp", "a.b.kawasaki.jp", "b.kawasaki.jp"),
+    ("https://www.食狮.公司.cn", "www.食狮.公司.cn", "食狮.公司.cn", "公司.cn"), ("https://www.xn--85x722f.xn--55qx5d.cn", "www.xn--85x722f.xn--55qx5d.cn", "xn--85x722f.xn--55qx5d.cn", "xn--55qx5d.cn"), ("https://github.io/", "github.io", "github.io", "github.io"),
+    ("https://a.unknowntld", "a.unknowntld", "a.unknowntld", "unknowntld"), ("https://x.com/" + "a" * 200_000, "x.com", "x.com", "com"), ("https://" + "a." * 5_000 + "co.uk/", "a." * 5_000 + "co.uk", "a.co.uk", "co.uk"), ("http://[bad/x", None, None, None),
+]
+
+
+def test_rules_of_the_public_suffix_list(spark):
+    p, _ = rows(spark, [(k, m[0]) for k, m in enumerate(MORE)], [(0, 1, 0)])
+    got = places(p)
+    assert [got[k] for k in range(len(MORE))] == [m[1:] for m in MORE]
+
+
+def test_rules_are_a_parameter(spark, tmp_path):
+    path = tmp_path / "rules.txt"
+    path.write_text("// comment\ncom\n*.own\n!not.own\n\n", "utf-8")
+    assert set(R.suffix_rules(str(path))) == {("com", R.PLAIN), ("own", R.WILD), ("not.own", R.NOT)}
+    p, l = rows(spark, [(1, "https://a.co.uk"), (2, "https://x.y.own"), (3, "https://x.not.own"), (4, "https://z.x.y.own/")], [(1, 1, 0)])
+    assert places(p, str(path)) == {1: ("a.co.uk", "co.uk", "uk"), 2: ("x.y.own", "x.y.own", "y.own"), 3: ("x.not.own", "not.own", "own"), 4: ("z.x.y.own", "x.y.own", "y.own")}
+    assert [r.suffix for r in R.judge(p, l, rules=str(path)).orderBy("page_id").collect()] == ["uk", "y.own", "own", "y.own"]
+
+
 def data():
     pages, labels = [], []
     for k in range(400):
@@ -31,7 +57,7 @@ def data():
         pages.append((k, f"https://{host}/{k}"))
         if k % 2:
             labels.append((k, 0 if (k % 13) in (1, 5) and k % 7 else 1, 0))
-    return pages + [(1000, None), (1001, "https://new.d1.com/"), (1002, "https://other.net/"), (5, "https://h5.d0.com/again"), (None, "https://h1.d1.com/")], labels + [(7, 0, 0), (11, None, 1), (None, 1, 0)]
+    return pages + [(1000, None), (1001, "https://new.d1.com/"), (1002, "https://other.net/"), (5, "https://h5.d0.com/again"), *[(2000 + k, m[0]) for k, m in enumerate(MORE) if len(m[0]) < 100], (3000, "https://www.食狮.公司.cn/2"), (None, "https://h1.d1.com/")], labels + [(7, 0, 0), (11, None, 1), (None, 1, 0)]
 
 
 def test_equals_sql(spark):

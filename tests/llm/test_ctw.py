@@ -2,6 +2,7 @@ import random
 from math import exp, lgamma, log, log2, pi
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import prose, table
 
@@ -57,7 +58,7 @@ class Brute:
         return -sum(log2(self.next((1 << k) | (b[i] >> (8 - k)), b[i - self.depth : i], b[i] >> (7 - k) & 1)) for i, b in self.places(t) for k in range(8))
 
 
-@pytest.mark.parametrize("depth", [2, 4])
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 6])
 def test_code_length_is_the_ratio_of_weighted_probabilities(spark, depth):
     brute = Brute(TEXTS, depth)
     out = sorted((r.doc_id, r.bits) for r in C.score(table(spark, list(enumerate(TEXTS))), depth=depth).collect())
@@ -66,10 +67,24 @@ def test_code_length_is_the_ratio_of_weighted_probabilities(spark, depth):
 
 def test_without_broadcast_the_same(spark):
     data = [(k, prose(k, 60)) for k in range(20)] + [(20, None), (21, ""), (None, "x"), (3, prose(3, 60))]
-    key = lambda r: (str(r.doc_id), r.bytes, round(r.bits, 1))
+    key = lambda r: (str(r.doc_id), r.bytes, r.bits, r.bits_per_byte)
     assert sorted(map(key, C.score(table(spark, data)).collect())) == sorted(map(key, C.score(table(spark, data), broadcast_grams=10).collect()))
 
 
+def test_chunks_change_nothing(spark, monkeypatch):
+    data = [(k, prose(k, 60)) for k in range(20)]
+    whole = sorted(map(tuple, C.score(table(spark, data)).collect()))
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 20, 5000).astype(np.uint64))
+    batches = [pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.ones(len(k), np.int64))], ["g", "n"]) for k in np.array_split(keys, 40)]
+    for chunk in (1, 50, 700, 1 << 20):
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        parts = list(C._contexts(iter(batches), 16))
+        assert np.array_equal(np.concatenate([k for k, _ in parts]), keys) and sum(len(n) for _, n in parts) == 5000
+        assert all(not set((a >> 16).tolist()) & set((b >> 16).tolist()) for (a, _), (b, _) in zip(parts, parts[1:]))
+    for limit in (1 << 20, 10):
+        assert sorted(map(tuple, C.score(table(spark, data).repartition(3), broadcast_grams=limit).collect())) == whole
+
+
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7, 100.5, 1e6, 3e9])
     assert np.allclose(C.log_gamma(x), [lgamma(v) for v in x], rtol=1e-12, atol=1e-11)

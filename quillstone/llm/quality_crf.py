@@ -7,9 +7,13 @@ is 1 minus the mean marginal of "bad", weighted by the lines' lengths.
 
 fit() trains on the driver by L-BFGS with an L2 penalty. Only document labels are given, so that all lines
 of a labelled document carry its label. It uses at most MAX_LABELLED labelled rows, those of the
-least hash of (id, seed): the documented bound of the sample. All else reads every document.
+least hash of (id, seed), and of these the first whose texts take at most MAX_BYTES together: the documented bounds of the
+sample, which is held on the driver. All else reads every document.
 
 Defined results:
+- A labelled id with several texts is fitted by the least of them.
+- Long documents are read whole; their lines are walked one after the other, in time linear in their number (100,000
+  lines take seconds), together with the other documents of a slice.
 - Null or empty text, or one of blank lines only: quality null, 0 lines, not kept.
 - Labels that are null, or of ids without a document, are not used; an id with several labels counts with the greatest.
 - Without labelled documents of both kinds no weight is learnt: every quality is 0.5, and all with text are kept.
@@ -23,10 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.llm import kernel as K
 
 MAX_LABELLED = 3000
+MAX_BYTES = 256 << 20
 THRESHOLD = 0.5
 L2 = 1.0
 
@@ -190,11 +196,16 @@ def train(x: np.ndarray, doc: np.ndarray, bad: np.ndarray, l2: float = L2, steps
     return v
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", seed: int = 1) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality", seed: int = 1) -> np.ndarray:
     """Weights learnt from documents labelled 1 (good) or 0 (bad)."""
     chosen = labels.select(F.col(f"`{label_id}`").cast("bigint").alias("_l"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_l is not null and _y is not null")
-    chosen = K.cut(chosen.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_l", F.lit(seed)), "_l").limit(max_labelled))
-    rows = K.keyed(docs, id_col, text_col).join(F.broadcast(chosen), F.col("_id") == F.col("_l")).select("_id", "_y", "_text").dropDuplicates(["_id"])
+    order = F.xxhash64("_l", F.lit(seed))
+    chosen = K.cut(chosen.groupBy("_l").agg(F.max("_y").alias("_y")).orderBy(order, "_l").limit(max_labelled))
+    rows = K.keyed(docs, id_col, text_col).join(F.broadcast(chosen), F.col("_id") == F.col("_l")).groupBy("_l", "_y").agg(F.min("_text").alias("_text"))
+    rows = K.cut(rows)
+    upto = F.sum(F.coalesce(F.octet_length("_text"), F.lit(0)).cast("bigint")).over(Window.orderBy(order, "_l"))  # of max_labelled rows at most
+    fit_in = rows.select("_l", upto.alias("_upto")).where(F.col("_upto") <= max_bytes).select(F.col("_l").alias("_id"))
+    rows = rows.join(F.broadcast(fit_in), F.col("_l") == F.col("_id")).select("_id", "_y", "_text")
     found = sorted(((r["_id"], r["_y"], r["_text"]) for r in rows.collect()), key=lambda r: r[0])
     if len({y > 0 for _, y, _ in found}) < 2:
         return np.zeros(FEATURES + 4)

@@ -9,6 +9,8 @@ share 2 * K_SIZE - S_SIZE bytes share an anchor.
 Result: a row for each document: doc_id, positions (characters of the text, from 0, in order), hashes (of the k-mers), n.
 Defined results:
 - Null and empty texts, and those of fewer than K_SIZE normalised bytes: empty arrays, 0.
+- Texts of any length are read whole, in linear time, at some 40 bytes a character. Words of one character each (see
+  kernel) have a blank between them only where the text has something there.
 - Ties: an edge whose hash equals the least counts as the least, so that uniform stretches are chosen throughout.
 - Repeated rows get equal results; a null id is no obstacle; only the id and text columns are read.
 - Empty tables give empty results.
@@ -101,3 +103,18 @@ def fingerprints(docs: DataFrame, *, k: int = K_SIZE, s: int = S_SIZE, id_col: s
         )
 
     return K.arrow_map(rows, work, SCHEMA)
+
+
+def matches(prints: DataFrame) -> DataFrame:
+    """doc_id, other_id, shift, anchors, start, end: passages of documents that an earlier place has, by position.
+
+    prints: doc_id, positions, hashes. Every anchor is held against the first place of its hash, by (doc_id, position), so that a
+    passage in any number of documents gives one link for each of them, to where it stands first. The anchors of a document
+    that agree in the other document and in the shift (position there less position here) make one row, with the least and
+    greatest position of theirs; passages of one shift that lie apart share a row. Places within one document match too.
+    Null ids, and documents without anchors, match nothing.
+    """
+    places = prints.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("positions", "hashes")).alias("a")).select("doc_id", F.col("a.positions").alias("p"), F.col("a.hashes").alias("h"))
+    first = places.groupBy("h").agg(F.min(F.struct("doc_id", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.col("f.doc_id").alias("other_id"), F.col("f.p").alias("q"))
+    both = places.join(first, "h").where("doc_id <> other_id or p <> q").withColumn("shift", F.col("q") - F.col("p"))
+    return both.groupBy("doc_id", "other_id", "shift").agg(F.count(F.lit(1)).alias("anchors"), F.min("p").alias("start"), F.max("p").alias("end"))

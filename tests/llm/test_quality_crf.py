@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import LONG, prose, table
+from pyspark.sql import functions as F
 
 from quillstone.llm import quality_crf as Q
 
@@ -41,6 +42,11 @@ def sets(spark):
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def frames(spark):
+    docs, labels = sets(spark)
+    return table(spark, docs), labels
+
+
 def test_held_out_accuracy_and_line_level_mix(spark):
     docs, labels = sets(spark)
     w = Q.fit(table(spark, docs), labels)
@@ -74,3 +80,20 @@ def test_hard_cases(spark):
 def test_nothing_to_learn_from_keeps_all_with_text(spark, labels):
     w = Q.fit(table(spark, [(1, "a b c")]), spark.createDataFrame(labels, "doc_id long, quality int"))
     assert not w.any() and [r.keep for r in Q.classify(table(spark, [(1, "a b c")]), w).collect()] == [True]
+
+
+def test_the_sample_is_bounded_in_bytes_and_well_defined(spark):
+    docs, labels = frames(spark)
+    whole = Q.fit(docs, labels)
+    assert np.array_equal(whole, Q.fit(docs.repartition(3), labels)) and whole.any()
+    assert not Q.fit(docs, labels, max_bytes=0).any() and not np.array_equal(Q.fit(docs, labels, max_bytes=8000), whole)
+    twice = docs.union(docs.withColumn("text", F.concat(F.lit("~ "), "text")))  # greater than any text of its id
+    assert np.array_equal(Q.fit(twice, labels), whole)
+
+
+def test_a_document_of_many_lines(spark):
+    docs, labels = frames(spark)
+    weights = Q.fit(docs, labels)
+    text = "\n".join([good(3)] * 25_000)
+    row = Q.classify(table(spark, [(1, text), (2, good(3))]), weights).where("doc_id = 1").first()
+    assert row.lines == 100_000 and row.keep

@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -45,10 +45,10 @@ from quillstone.llm import kernel as K
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes that the cache of a worker takes at most, by estimate, and the greatest length of what it keeps.
-CACHE_BYTES, SHORT = 96 << 20, 64
+CACHE_BYTES, SHORT = 32 << 20, 64
 _ENTRY = 200
 #: Bytes of text that are encoded at once; a longer text makes a slice of its own.
-SLICE = 8 << 20
+SLICE = 2 << 20
 _BITS, _PLACE, _NONE = 24, (1 << 32) - 1, np.iinfo(np.int64).max
 
 SCHEMA = "doc_id bigint, tokens array<int>, n_tokens bigint, round_trip boolean"
@@ -110,15 +110,16 @@ class Bpe:
         self.ranks = ranks
         self.vocabulary = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs = {}
+        keys, values = array("q"), array("q")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
-                    self.pairs[a << _BITS | b] = rank
+                    keys.append(a << _BITS | b)
+                    values.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self._keys, self._ranks = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         #: by two bytes, the rank and merged symbol of their pair, -1 where there is none
         self.bytes_rank = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self._keys = np.array(sorted(self.pairs), np.int64)
-        self._ranks = np.array([self.pairs[k] for k in self._keys.tolist()], np.int64)
         self._byte_ranks, self._singles = np.array(self.bytes_rank, np.int64), np.array(self.single, np.int64)
         flat = [self.vocabulary.get(i, b"") for i in range(max(self.vocabulary) + 1)]
         self._size = np.array([len(t) for t in flat], np.int64)
@@ -133,7 +134,7 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
-        first, get = self.bytes_rank, self.pairs.get
+        first, ranks, strings = self.bytes_rank, self.ranks.get, self.vocabulary
         # rank[i]: of the pair that starts at symbol i now; -1 without one, and where a symbol has gone
         rank = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
         rank.append(-1)
@@ -155,21 +156,21 @@ class Bpe:
             sym[i], sym[j], rank[j] = r, -1, -1
             if k < n:
                 before[k] = i
-                new = rank[i] = get(r << _BITS | sym[k], -1)
+                new = rank[i] = ranks(strings[r] + strings[sym[k]], -1)
                 if new >= 0:
                     heappush(queue, new << 32 | i)
             else:
                 rank[i] = -1
             p = before[i]
             if p >= 0:
-                new = rank[p] = get(sym[p] << _BITS | r, -1)
+                new = rank[p] = ranks(strings[sym[p]] + strings[r], -1)
                 if new >= 0:
                     heappush(queue, new << 32 | p)
         return [s for s in sym if s >= 0]
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols; -1 where the vocabulary has none."""
-        key = a << _BITS | b
+        key = a.astype(np.int64) << _BITS | b
         at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
         return np.where(self._keys[at] == key, self._ranks[at], -1) if len(self._keys) else np.full(len(key), -1)
 
@@ -180,16 +181,16 @@ class Bpe:
         rank << 24 | place << 12 | its own number in the queue.
         """
         n, size = len(data), np.diff(at)
-        piece = np.repeat(np.arange(len(size)), size)
-        sym, rank = self._singles[data], np.full(n, -1)
+        piece = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        sym, rank = self._singles[data].astype(np.int32), np.full(n, -1, np.int32)
         rank[:-1] = self._byte_ranks[data[:-1].astype(np.int64) << 8 | data[1:]]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         rank[at[1:] - 1], after[at[1:] - 1], before[at[:-1]] = -1, n, -1
         own, fill, start = at[:-1], size.copy(), (np.cumsum(size) - size) * 3
         queue = np.full(3 * n, _NONE)
         has = np.flatnonzero(rank >= 0)
         place = has - own[piece[has]]
-        queue[start[piece[has]] + place] = rank[has] << 24 | place << 12 | place
+        queue[start[piece[has]] + place] = rank[has].astype(np.int64) << 24 | place << 12 | place
         live = np.arange(len(size))  # pieces with entries, whose queues start at start
         while len(live):
             top = np.minimum.reduceat(queue, start)
@@ -301,7 +302,7 @@ _open: dict[int, Bpe] = {}
 
 
 def _coder(data: bytes, pattern: str) -> Bpe:
-    """One coder in each worker: its caches live on between tasks."""
+    """One coder in each worker; its cache lasts as long as a task."""
     key = hash((data, pattern))
     if key not in _open:
         _open.clear()
@@ -323,7 +324,14 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, pattern: str = PATT
             [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(tokens)), pa.array(count, mask=null), pa.array(np.ones(len(null), bool), mask=null)], ["doc_id", "tokens", "n_tokens", "round_trip"]
         )
 
-    return K.arrow_map(rows, work, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from (work(batch) for batch in batches if batch.num_rows)
+        finally:  # what the next task of this worker does need not be encoding
+            _coder(shared.value, pattern).units = _Cache()
+            K.give_back()
+
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def decode(encoded: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:

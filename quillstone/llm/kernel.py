@@ -11,6 +11,7 @@ sign, the capital sharp s and the dotted capital I) stay as they are.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 U = np.uint64
 #: Bytes of text that are worked on at once; a longer document makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes up to which a table is broadcast to a join; beyond that it is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -246,13 +247,25 @@ def fits(w: Words, n: int) -> np.ndarray:
     return np.arange(m) + n <= end
 
 
+def give_back() -> None:
+    """Returns free memory to the system at the end of a task: workers live on, and so would what they once held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := work(batch)) is not None:
-                yield out
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := work(batch)) is not None:
+                    yield out
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -75,6 +75,34 @@ def test_search_equals_brute_force(spark):
         retrieve.BROADCAST_BYTES, retrieve.BLOCK_BYTES = wide, block
 
 
+def test_search_holds_n_rows_a_query_whatever_comes(spark):
+    rng = np.random.default_rng(1)
+    held, ids = np.full((30, 4), np.inf), np.full((30, 4), np.iinfo(np.int64).max)
+    seen, names = np.zeros((30, 0)), np.zeros(0, np.int64)
+    for size in (3, 200, 1, 50, 500):
+        v, i = rng.integers(0, 40, (30, size)).astype(float), rng.permutation(10_000)[:size]  # many ties
+        v[rng.random(v.shape) < 0.1], v[:2] = np.nan, np.nan
+        seen, names = np.hstack([seen, v]), np.concatenate([names, i])
+        retrieve._keep(held, ids, v, i)
+        for q in range(30):
+            want = sorted((s, n) for s, n in zip(seen[q], names) if s == s)[:4]
+            assert [(s, n) for s, n in zip(held[q], ids[q]) if s < np.inf] == want
+
+
+def test_rerank_runs_the_search_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def searched(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "c"), (4, "z")], "doc_id long, text string")
+    found = spark.createDataFrame([(1, 2, 1), (1, 3, 2), (1, 4, 3)], "query_id long, id long, rank long").mapInArrow(searched, "query_id long, id long, rank long")
+    got = retrieve.rerank_by_words(found, docs, 2).collect()
+    assert [(r.id, r.rerank_score, r.new_rank) for r in sorted(got, key=lambda r: r.new_rank)] == [(2, 0.666667, 1), (3, 0.333333, 2)] and runs.value == 3
+
+
 def test_store_loads_what_is_new_or_changed(spark, tmp_path):
     store = Store(spark, str(tmp_path), size=40, overlap=10)
     assert store.file_count() == 0 and store.retrieve(queries(spark, "x")).first().context == NOTHING

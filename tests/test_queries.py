@@ -22,6 +22,13 @@ def test_the_comparison_can_fail(spark, tiny, db):
     assert difference(QUERIES["q_min_words"](spark, tiny), db, wrong)
 
 
+@pytest.mark.parametrize("name", ["q_rerank_top12", "q_two_stage", "q_result_dedup", "q_cosine_topk", "q_l2_topk", "q_context", "q_references"])
+def test_searches_ask_rows_divisible_by_100(name, spark, tiny):
+    ids = {k for t, c in (("embeddings", "vec_id"), ("documents", "doc_id")) for k, *_ in spark.read.parquet(f"{tiny}/{t}.parquet").select(c).collect()}
+    asked = {r.query_id for r in QUERIES[name](spark, tiny).collect()}
+    assert {0, 100} <= asked <= {k for k in ids if k % 100 == 0}
+
+
 def test_chunks_hold_the_text(spark, tiny):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     seen = {}

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,17 +68,19 @@ class Machine:
                 return False
         return True
 
-    def next(self, state: str, env: dict[str, Any], elapsed: float = 0.0) -> str | None:
-        """The state that is entered now; None if none is. A state without transitions is final."""
-        fallback = None
+    def choices(self, state: str, env: dict[str, Any]) -> list[tuple[float, str]]:
+        """(least seconds in the state, state entered) of the transitions that the environment allows, in the order they are tried."""
+        out, fallback = [], []
         for transition in (self.states[state].get("transitions") or {}).values():
-            if "when" in transition:
-                if self.holds(transition["when"] or {}, env, elapsed):
-                    return _state_name(transition["state"])
-            elif fallback is None:
-                fallback = transition
-        return _state_name(fallback["state"]) if fallback is not None else None
+            if "when" not in transition:
+                fallback.append(transition)
+            elif self.holds(when := transition["when"] or {}, env, math.inf):
+                out.append((seconds(when["elapsed"]) if "elapsed" in when else -math.inf, _state_name(transition["state"])))
+        return out + [(-math.inf, _state_name(t["state"])) for t in fallback[:1]]
 
+    def next(self, state: str, env: dict[str, Any], elapsed: float = 0.0) -> str | None:
+        """The state that is entered now; None if none is. A state without transitions is final."""
+        return next((to for least, to in self.choices(state, env) if not elapsed < least), None)
 
     def wait(self, state: str, env: dict[str, Any], elapsed: float) -> float | None:
         """Seconds until a transition is due by the passing of time alone; None if none ever is."""
@@ -134,24 +137,70 @@ def _step(machine: Machine, state: str, env: dict, entered: float, at: float, ch
     return (state, env, entered, False) if to is None else (to, env, at, True)
 
 
+#: Environments whose transitions a fold keeps worked out.
+_KNOWN = 4096
+
+
+class _Envs:
+    """Environments by number, of the names that conditions ask for, with the choices of each state; forgotten when they are many."""
+
+    def __init__(self, machine: Machine):
+        transitions = (t for s in machine.states.values() for t in ((s or {}).get("transitions") or {}).values())
+        self.machine, self.asked = machine, {name for t in transitions for name in t.get("when") or {}}
+        self.forget()
+
+    def forget(self) -> None:
+        self.envs, self.numbers, self.changed, self.choices = [{}], {"{}": 0}, {}, {}
+
+    def change(self, number: int, what: str) -> int:
+        """The number of the environment that the change makes of this one; 0 is the empty one."""
+        if (found := self.changed.get((number, what))) is not None:
+            return found
+        env = {k: v for k, v in {**self.envs[number], **json.loads(what)}.items() if k in self.asked}
+        if full := len(self.changed) >= _KNOWN:
+            self.forget()
+        found = self.numbers.setdefault(json.dumps(env, sort_keys=True), len(self.envs))
+        if found == len(self.envs):
+            self.envs.append(env)
+        if not full:
+            self.changed[number, what] = found
+        return found
+
+    def of(self, state: str, number: int) -> list[tuple[float, str]]:
+        if (found := self.choices.get((state, number))) is None:
+            found = self.choices[state, number] = self.machine.choices(state, self.envs[number])
+        return found
+
+
 def fold(events: DataFrame, machine: Machine, *, key: str, at: str, order: str, change: str) -> DataFrame:
     """key, order, state after each event, and whether it was entered then: the events of each key in (at, order).
 
     change: a JSON object of what the event sets in the environment. at: a timestamp; order breaks its ties.
+    Events are sorted by key on disk and read as one stream, so that neither many keys nor many events of a key cost more than their rows.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", "_order"], kind="stable")
-        state, env, entered, rows = machine.start, {}, None, []
-        for name, when, number, what in zip(pdf["_key"], pdf["_at"], pdf["_order"], pdf["_change"]):
-            entered = when if entered is None else entered
-            state, env, entered, moved = _step(machine, state, env, entered, when, what)
-            rows.append((name, number, state, moved))
-        return pd.DataFrame(rows, columns=["key", "order", "state", "entered"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        envs = _Envs(machine)
+        last, state, env, entered = None, machine.start, 0, 0.0
+        for batch in batches:
+            states, moves = [], []
+            for k, when, what in zip(batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).tolist(), batch.column(3).to_pylist()):
+                if k != last:
+                    last, state, env, entered = k, machine.start, 0, when
+                env = envs.change(env, what) if what else env
+                moved = False
+                for least, to in envs.of(state, env):
+                    if not when - entered < least:
+                        state, entered, moved = to, when, True
+                        break
+                states.append(state)
+                moves.append(moved)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(states, pa.string()), pa.array(moves, pa.bool_())], ["key", "order", "state", "entered"])
 
     rows = events.select(F.col(key).cast("bigint").alias("_key"), F.col(order).cast("bigint").alias("_order"), F.unix_micros(F.col(at).cast("timestamp")).cast("double").alias("_us"), F.col(change).alias("_change"))
     rows = rows.select("_key", "_order", (F.col("_us") / 1e6).alias("_at"), "_change").where("_key is not null")
-    return rows.groupBy("_key").applyInPandas(run, "key bigint, order bigint, state string, entered boolean")
+    rows = rows.repartition("_key").sortWithinPartitions("_key", F.asc_nulls_last("_at"), F.asc_nulls_last("_order"))
+    return rows.mapInArrow(run, "key bigint, order bigint, state string, entered boolean")
 
 
 def stream(events: DataFrame, machine: Machine, *, key: str, at: str, order: str, change: str) -> DataFrame:

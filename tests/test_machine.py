@@ -1,6 +1,7 @@
 """State machines: one runner, a fold over events, and the same over a stream."""
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,41 @@ def test_fold(spark):
     assert fold(df.limit(0), SWITCH, key="k", at="at", order="n", change="c").collect() == []
 
 
+def test_fold_of_many_keys_is_one_stream(spark, monkeypatch):
+    from quillstone.streaming import machine
+
+    m = Machine({"states": {"start": {"transitions": {"a": {"when": {"go": 1, "elapsed": "1h"}, "state": "b"}, "c": {"when": {"level": 3}, "state": "c"}}}, "b": {"transitions": {"d": {"when": {"go": 2}, "state": "start"}}}, "c": {"transitions": {"e": {"state": "b"}}}}})
+    start = datetime.datetime(2024, 1, 1)
+    what = [None, '{"go": 1}', '{"go": 2}', '{"level": 3}', '{"level": [1], "other": 5}', '{"go": 1, "level": null}']
+    rows = [(k, start + datetime.timedelta(minutes=17 * (n * n % 40)), n, what[(k * n + n) % 6]) for k in range(40) for n in range(30)]
+    want = []
+    for k in range(40):
+        now, env = [0.0], {}
+        r = Runner(m, env, clock=lambda: now[0])  # noqa: B023
+        mine = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2]))
+        r.entered = mine[0][1].timestamp()
+        for _, at, n, change in mine:
+            env.update(json.loads(change or "{}"))
+            now[0] = at.timestamp()
+            moved = r.tick()
+            want.append((k, n, r.state, moved))
+    df = spark.createDataFrame(rows, "k long, at timestamp, n long, c string").repartition(3, "n")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys go on from batch to batch
+        got = fold(df, m, key="k", at="at", order="n", change="c")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    monkeypatch.setattr(machine, "_KNOWN", 2)
+    envs, env, number = machine._Envs(m), {}, 0
+    for k in range(60):
+        env |= json.loads(what[k * k % 5 + 1])
+        number = envs.change(number, what[k * k % 5 + 1])
+        assert envs.envs[number] == {x: v for x, v in env.items() if x != "other"} and len(envs.envs) < 6 and envs.of("start", number) == m.choices("start", env)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # no call for each key
+
+
 def test_stream_equals_fold(spark, tmp_path):
     df = spark.createDataFrame(rows(), "k long, at timestamp, n long, c string")
     for k, part in enumerate((F.col("n") < 3, F.col("n") >= 3)):

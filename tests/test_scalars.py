@@ -1,5 +1,9 @@
 """Scalars at their edges, and cleaning."""
 
+import random
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +78,27 @@ def test_most_real_lines_stay(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet").join(spark.read.parquet(f"{tiny}/labels.parquet").where("quality = 1"), "doc_id")
     lines = docs.select(F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") > 20)
     assert lines.where(B.is_noise(F.col("l"))).count() < 0.02 * lines.count()
+
+
+def test_clean_text_equals_its_rule_line_by_line(spark):
+    def noise(line):
+        low, some = line.lower(), sum(c.isascii() and c.isalpha() for c in line)
+        two = [a + b for a, b in zip(low, low[1:]) if a.isascii() and b.isascii() and a.isalpha() and b.isalpha()]
+        return some >= B.LEAST_LETTERS and sum(p in B.PAIRS for p in two) < B.LEAST_SHARE * len(two)
+
+    r, ends = random.Random(5), ["", "\n", "\n\n"]
+    lines = [GIBBERISH, PROSE, "", "é" * 20, "\u212a" * 3 + "QXZWVKJ" * 2, "\u0130xqzwvkj" * 3, "caf\u00c3\u00a9 au lait", "a &amp; b &lt; c", "\u201cquoted\u201d\r", "\ufb01ne", "\u4e2d\u6587 qwrtpzlkjhgf", "x\u0007y", "na\u00efve\u2019s"]
+    lines += ["".join(r.choice("aeiQXzkt bn\u0130\u212a\u00e9") for _ in range(r.randint(0, 40))) for _ in range(300)]
+    texts = [None, "", *("\n".join(r.choices(lines, k=r.randint(1, 6))) + r.choice(ends) for _ in range(500)), "qxzwvkjqxzwvkj", "", "\n", "qxzwvkjqxzwvkj\n" + PROSE]
+    want = [None if t is None else "\n".join(x for x in (B.repair(t) if re.search(B._DAMAGE, t) else t).split("\n") if not noise(x)) for t in texts]
+    whole, few = B.SLICE, pa.array(texts)
+    assert of(spark, B.clean_text, *texts) == want and sum(w != t for w, t in zip(want, texts)) > 100
+    assert of(spark, B.is_noise, *lines, None) == [*map(noise, lines), None]
+    try:
+        B.SLICE = 100
+        parts = list(B._slices(few.slice(3, 200)))
+        assert len(parts) > 50 and [x for p in parts for x in B._without_noise(B._repaired(p), B.LEAST_LETTERS).to_pylist()] == want[3:203]
+    finally:
+        B.SLICE = whole
+    plan = spark.createDataFrame([("a",)], "t string").select(B.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in plan and "RLIKE" not in plan  # patterns take microseconds a character

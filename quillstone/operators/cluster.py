@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from quillstone.operators.shared import cut
 
-#: Rows that one task clusters at once; larger tables are parted by bisecting k-means first.
+#: Rows that one task clusters at once; larger tables are parted by bisecting k-means first. Parts up to so many times that are halved by one task each.
 LOCAL = 2048
+HALVED = 16
+MOST_TASKS = 2000
 #: Added to the diagonals of covariances, as a share of the mean variance.
 REGULAR = 1e-4
 
@@ -175,33 +177,77 @@ def split(x: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
     return out
 
 
+def _halved(x: np.ndarray, most: int) -> np.ndarray:
+    """The number of a part of at most so many rows for each row, by 2-means; by the median where that leaves one side small."""
+    out, done, todo = np.zeros(len(x), np.int64), 0, [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= most:
+            out[rows], done = done, done + 1
+            continue
+        own = x[rows]
+        along = own[:, own.var(axis=0).argmax()]
+        right = along > along.mean()
+        for _ in range(20):
+            if right.all() or not right.any():
+                break
+            a, b = own[~right].mean(axis=0), own[right].mean(axis=0)
+            was, right = right, own @ (b - a) > (b @ b - a @ a) / 2
+            if (was == right).all():
+                break
+        if not len(rows) / 16 <= right.sum() <= len(rows) * 15 / 16:
+            right = np.zeros(len(rows), bool)
+            right[np.argsort(along, kind="stable")[len(rows) // 2 :]] = True
+        todo += [rows[right], rows[~right]]
+    return out
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return _rows(column.combine_chunks())
+
+
 def _parted(points: DataFrame, seed: int) -> DataFrame:
-    """id, features, part: parts of LOCAL rows at most."""
+    """id, part, x: parts of LOCAL rows at most."""
     points = cut(points.withColumn("part", F.lit("0")))
-    while large := [r.part for r in points.groupBy("part").count().where(F.col("count") > LOCAL).collect()]:
-        out = points.where(~F.col("part").isin(large))
-        for part in large:
-            own = points.where(F.col("part") == part)
-            n = own.count()
+    most, many = LOCAL, LOCAL  # after the first round, what is still too large for one task is rare
+    while large := {r.part: r["count"] for r in points.groupBy("part").count().where(F.col("count") > many).collect()}:
+        out, held = points.where(~F.col("part").isin(list(large))), []
+        for part, n in large.items():
+            held.append(own := points.where(F.col("part") == part).persist())
             found = BisectingKMeans(k=2 * -(-n // LOCAL), seed=seed).fit(own).transform(own)
             if found.select("prediction").distinct().count() < 2:
                 found = found.withColumn("prediction", F.pmod(F.xxhash64("id"), F.lit(2 * -(-n // LOCAL))))
             out = out.union(found.select("id", "features", F.concat("part", F.lit("."), F.col("prediction").cast("string"))))
-        points = cut(out)
-    return points
+        points, many = cut(out), HALVED * LOCAL
+        for own in held:
+            own.unpersist()
+    left = points.groupBy("part").count().where(F.col("count") > most).limit(1).count()
+    points = points.select("id", "part", vector_to_array("features").alias("x"))
+
+    def halve(table: pa.Table) -> pa.Table:
+        if len(table) <= most:
+            return table
+        table = table.sort_by("id")
+        part = table["part"][0].as_py()
+        return table.set_column(1, "part", pa.array([f"{part}.{c}" for c in _halved(_matrix(table["x"]), most)]))
+
+    return cut(points.groupBy("part").applyInArrow(halve, points.schema)) if left else points
 
 
 def clusters(rows: DataFrame, *, most: int, id_col: str = "vec_id", vector: str = "embedding", dim: int = 8, seed: int = 0) -> DataFrame:
-    """id, cluster: one cluster for each row, of at most so many rows, as many clusters as that takes."""
-    points = _parted(_points(rows, id_col, vector, dim), seed).select("id", "part", vector_to_array("features").alias("x"))
+    """id, cluster: one cluster for each row, of at most so many rows, as many clusters as that takes.
+
+    Parts are few bytes and much work, so that they are spread by their number and not by their size.
+    """
+    points = _parted(_points(rows, id_col, vector, dim), seed)
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
-        x = table["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
         part = table["part"][0].as_py()
-        return pa.table({"id": table["id"], "cluster": pa.array([f"{part}.{c}" for c in split(x, most, seed)])})
+        return pa.table({"id": table["id"], "cluster": pa.array([f"{part}.{c}" for c in split(_matrix(table["x"]), most, seed)])})
 
-    return points.groupBy("part").applyInArrow(work, f"id {dict(points.dtypes)['id']}, cluster string")
+    tasks = min(4 * -(-max(1, points.count()) // LOCAL), MOST_TASKS)
+    return points.repartition(tasks, "part").groupBy("part").applyInArrow(work, f"id {dict(points.dtypes)['id']}, cluster string")
 
 
 def tree(rows: DataFrame, *, levels: int = 2, per_cluster: int = 10, id_col: str = "vec_id", vector: str = "embedding", seed: int = 0) -> DataFrame:

@@ -45,3 +45,24 @@ def test_split_parts_well_told_groups():
     x = np.concatenate([r.normal(size=(15, 3)) + 100 * g for g in range(9)])
     label = cluster.split(x, 20)
     assert len(set(label)) == 9 and all(len(set(label[15 * g : 15 * g + 15])) == 1 for g in range(9))
+
+
+def test_parts_that_stay_large_are_halved_by_tasks_at_once(spark, monkeypatch):
+    fits, own = [], cluster.BisectingKMeans
+    monkeypatch.setattr(cluster, "BisectingKMeans", lambda **k: fits.append(k) or own(**k))
+    monkeypatch.setattr(cluster, "LOCAL", 50)
+    r = np.random.default_rng(3)
+    m = np.concatenate([np.repeat(r.normal(size=(3, 10)) * 50, 200, axis=0), r.normal(size=(200, 10))])  # equal rows, which k-means can't tell apart
+    rows = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "vec_id long, embedding array<float>")
+    found = cluster.clusters(rows, most=20)
+    assert len(fits) == 1 and found.rdd.getNumPartitions() >= 16  # however few bytes
+    got = found.collect()
+    assert sorted(x.id for x in got) == list(range(800)) and max(Counter(x.cluster for x in got).values()) <= 20
+    assert max(Counter(x.cluster.rsplit(".", 1)[0] for x in got).values()) <= 50
+
+
+def test_halves_are_small_whatever_the_rows():
+    x = np.exp(np.arange(600.0) / 2)[:, None] * [1.0, 0.5]  # each 2-means would take off a row
+    for rows, most in ((x, 50), (np.ones((300, 3)), 40), (np.random.default_rng(4).normal(size=(999, 4)), 100), (x[:5], 10)):
+        label = cluster._halved(rows, most)
+        assert max(Counter(label.tolist()).values()) <= most and set(label) == set(range(len(set(label)))) and len(set(label)) <= 16 * -(-len(rows) // most)
